@@ -6,7 +6,7 @@ import importlib
 
 from tabveil.catalog.registry import REGISTRY, Query
 
-SUBJECTS = ["cleaning", "generalising", "deriving", "drawing", "personal_data", "comparing", "predicting"]
+SUBJECTS = ["cleaning", "generalising", "deriving", "drawing", "personal_data", "comparing", "predicting", "attacking", "synthesizing", "filing", "reporting"]
 
 
 def load() -> dict[str, Query]:

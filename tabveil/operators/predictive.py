@@ -16,6 +16,7 @@ from tabveil.operators.encode import encode_by_first, encode_union
 from tabveil.operators.features import weighted_rows
 from tabveil.operators.generalize import top_15_other
 from tabveil.operators.sampling import train_test
+from tabveil.session import materialize
 
 MAX_BINS = 256
 
@@ -70,13 +71,13 @@ def with_f1_drop(df: DataFrame, generalised: str, synthetic: str) -> DataFrame:
 
 # --- models ----------------------------------------------------------------
 def assemble(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:
-    """Feature vector and numeric label."""
+    """Feature vector and numeric label, written down once: tree fits pass over
+    their input several times and would otherwise repeat the joins behind it."""
     extra = [weight] if weight else []
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, *extra]],
                         F.col(label).cast("double").alias("label"))
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(
-        numbers.fillna(0.0)
-    ).select("features", "label", *extra)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    return materialize(vectors.transform(numbers.fillna(0.0)).select("features", "label", *extra), "features")
 
 
 def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassifier:
@@ -99,9 +100,9 @@ def score_model(model, test: DataFrame) -> DataFrame:
     return prediction_scores(model.transform(test), "label", "prediction")
 
 
-def score_row(model, test: DataFrame, **names) -> DataFrame:
+def score_row(fitted, test: DataFrame, /, **names) -> DataFrame:
     """The same with constant columns in front."""
-    scores = score_model(model, test)
+    scores = score_model(fitted, test)
     return scores.select(*[F.lit(v).alias(k) for k, v in names.items()], *scores.columns)
 
 

@@ -142,7 +142,7 @@ def pair_scores(cells: DataFrame, noisy: DataFrame, pairs: Sequence[tuple[str, s
     ``noisy`` has a, code_a, m. Empty cells need no row: all products together
     sum to the product of the two totals, from which the seen ones are taken off.
     """
-    m = noisy.withColumn("m", F.greatest("m", F.lit(0.0)))
+    m = noisy.select("a", "code_a", F.greatest("m", F.lit(0.0)).alias("m"))
     totals = m.groupBy("a").agg(F.sum("m").alias("total"))
     right = m.select(F.col("a").alias("b"), F.col("code_a").alias("code_b"), F.col("m").alias("m_b"))
     seen = cells.filter("b is not null").join(m, ["a", "code_a"]).join(right, ["b", "code_b"])
