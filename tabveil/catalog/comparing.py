@@ -23,7 +23,7 @@ side AS (SELECT *, CASE WHEN CAST(('0x' || substr(md5(row_id || '|half'), 1, 8))
 
 def _lines(spark, sf_dir):
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
-    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = table(spark, sf_dir, "lineitem", balance=True).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         key.alias("row_id"), F.expr("nullif(l_returnflag, 'R') AS l_returnflag"), "l_linestatus", "p_brand", "p_type",
         F.col("p_size").cast("string").alias("p_size"), "l_quantity", "l_extendedprice",

@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.operators.sampling import halves
+from tabveil.sources.readers import read_parquet
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", balance=balance)
 
 
 def candidates(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The candidate view, or some of its columns."""
     joined = (
-        table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders", balance=True)
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

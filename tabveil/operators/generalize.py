@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabveil.functions import text
-from tabveil.operators.clean import drop_present, normalize_text, select_available
+from tabveil.operators.clean import normalize_text, select_available
 from tabveil.operators.ordering import order_statistics
 from tabveil.roles import (
     BASE_COLUMNS, GENERATION_BINS, IDENTIFIER_COLUMNS, NO_SOURCE_TOKEN, REST_TOKEN, SHORT_REST_TOKEN,
@@ -208,7 +208,8 @@ def apply_wrangling(
     plan = strategy(profile)
     passed = [c for c in keep if c not in base and c in df.columns]
     held = [F.col(c).alias(f"__{c}") for c in passed]
-    df = drop_present(df.select("*", *held), identifiers)
+    used = [c for c in [*base, birth_date] if c in df.columns and c not in identifiers]
+    df = df.select(*held, *used)
     if birth_date in df.columns:
         df = with_birth_year(df, birth_date, "__year", date_pattern)
         age = exact_year(F.col("__year")) if plan.exact_year else fixed_bins(F.col("__year"))

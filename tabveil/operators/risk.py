@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from tabveil.functions.hashing import leading_int, row_digest
 from tabveil.functions.scores import excess_risk, privacy_score, risk_band, traffic_light, wilson
 from tabveil.operators.clean import all_text
+from tabveil.operators.expand import key_columns, per_set
 from tabveil.operators.neighbours import nearest, nearest_k
 from tabveil.operators.sampling import sample_exact
+from tabveil.session import BROADCAST_ROWS, small_or_same
 
 SINGLING_OUT, LINKABILITY, INFERENCE = "Singling Out", "Linkability", "Inference"
-CANDIDATES_PER_ATTACK = 10
+CANDIDATES_PER_ATTACK = 4
 
 
 def with_risk(counts: DataFrame, successes: str = "successes", attacks: str = "n") -> DataFrame:
@@ -108,74 +110,65 @@ def column_sets(columns: Sequence[str], n_cols: int = 3) -> list[tuple[str, ...]
     return list(combinations(columns, min(n_cols, len(columns))))
 
 
-def _set_keys(df: DataFrame, columns: Sequence[str], sets: Sequence[Sequence[str]], number) -> DataFrame:
-    """Key columns k0… holding the values of the columns in set ``set_no``."""
-    keyed = df.withColumn("set_no", number)
-    keys = {}
-    for i, c in enumerate(columns):
-        members = [no for no, s in enumerate(sets) if c in s]
-        keys[f"k{i}"] = F.when(F.col("set_no").isin(members), F.col(c)).otherwise("")
-    return keyed.withColumns(keys)
-
-
-def _every_set(sets: Sequence) :
-    return F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1)))
-
-
 def multivariate_predicates(original: DataFrame, synthetic: DataFrame, columns: Sequence[str],
                             sets: Sequence[Sequence[str]]) -> DataFrame:
     """Every value combination, over every column set, that is unique in the
     synthetic table: ``set_no``, its key columns, matches in the original."""
-    columns = list(columns)
-    keys = ["set_no", *[f"k{i}" for i in range(len(columns))]]
+    keys = key_columns(sets)
     sides = []
     for side, df in enumerate((original, synthetic)):
-        # Equal rows are counted once before they are repeated per column set.
-        rows = all_text(df.select(*columns)).groupBy(*columns).agg(F.count("*").alias("rows"))
-        keyed = _set_keys(rows, columns, sets, _every_set(sets))
-        sides.append(keyed.select(*keys, F.lit(side).alias("side"), "rows"))
+        rows = per_set(all_text(df.select(*columns)), columns, sets)
+        sides.append(rows.withColumn("side", F.lit(side)))
+    # Summed per task before the shuffle, so a frequent combination costs one row.
     counts = sides[0].unionByName(sides[1]).groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") == 0, F.col("rows")).otherwise(0)).alias("hits"),
-        F.sum(F.when(F.col("side") == 1, F.col("rows")).otherwise(0)).alias("n_syn"),
+        F.count_if(F.col("side") == 0).alias("hits"), F.count_if(F.col("side") == 1).alias("n_syn")
     )
     return counts.filter("n_syn = 1").drop("n_syn")
 
 
+def _matches(df: DataFrame, columns: Sequence[str], sets: Sequence[Sequence[str]], wanted: DataFrame,
+             name: str, small: bool = True) -> DataFrame:
+    """Rows of ``df`` per wanted predicate. While ``wanted`` is small it is
+    broadcast, the table is scanned in place and only counts travel."""
+    keys = key_columns(sets)
+    keyed = per_set(all_text(df.select(*columns)), columns, sets)
+    wanted = wanted.select(*keys)
+    return keyed.join(F.broadcast(wanted) if small else wanted, keys).groupBy(*keys).agg(F.count("*").alias(name))
+
+
 def _drawn_predicates(original: DataFrame, synthetic: DataFrame, columns: Sequence[str],
                       sets: Sequence[Sequence[str]], syn_id: str, n_attacks: int, seed: int) -> DataFrame:
     """The first ``n_attacks`` unique predicates in digest order, where each
     synthetic row proposes one randomly drawn column set.
 
-    Candidates come in batches small enough to broadcast, so both tables are
-    only scanned; should a batch hold too few unique ones, a larger batch is
-    drawn, up to all rows.
+    A batch of candidates, small enough to broadcast, is tried first. Where it
+    holds too few unique ones, unique combinations are rare, and all of them are
+    counted instead: then most rows collapse before the shuffle.
     """
-    columns = list(columns)
-    keys = ["set_no", *[f"k{i}" for i in range(len(columns))]]
+    keys = key_columns(sets)
     number = F.pmod(leading_int(row_digest([syn_id], f"{seed}-set")), F.lit(len(sets))).cast("int")
-    texts = all_text(synthetic, columns)
-    total = synthetic.count()
-    batch = min(total, CANDIDATES_PER_ATTACK * n_attacks)
-
-    def matched(df: DataFrame, wanted: DataFrame, name: str, bounded: bool) -> DataFrame:
-        keyed = _set_keys(all_text(df.select(*columns)), columns, sets, _every_set(sets)).select(*keys)
-        hits = keyed.join(F.broadcast(wanted) if bounded else wanted, keys, "left_semi")
-        return hits.groupBy(*keys).agg(F.count("*").alias(name))
-
-    while True:
-        drawn = sample_exact(texts, batch, syn_id, f"{seed}-draw")
-        proposals = _set_keys(drawn, columns, sets, number).groupBy(*keys).agg(
-            F.min(row_digest([syn_id], f"{seed}-draw")).alias("drawn")
-        )
-        bounded = batch <= 100_000
-        unique = matched(synthetic, proposals.select(*keys), "n_syn", bounded).filter("n_syn = 1")
-        chosen = proposals.join(unique, keys).drop("n_syn")
-        if batch >= total or chosen.count() >= n_attacks:
-            break
-        batch = min(total, batch * CANDIDATES_PER_ATTACK)
-    first = chosen.orderBy("drawn", *keys).limit(n_attacks)
-    hits = matched(original, first.select(*keys), "hits", n_attacks <= 100_000)
-    return first.join(hits, keys, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    drawn = row_digest([syn_id], f"{seed}-draw").alias("drawn")
+    texts = all_text(synthetic, columns).select(syn_id, *[c for c in columns if c != syn_id])
+
+    def proposals(df: DataFrame) -> DataFrame:
+        own = per_set(df.select("*", drawn), columns, sets, keep=["drawn"], number=number)
+        return own.groupBy(*keys).agg(F.min("drawn").alias("drawn"))
+
+    batch = CANDIDATES_PER_ATTACK * n_attacks
+    chosen, small = None, batch <= BROADCAST_ROWS
+    if small:
+        tried, _ = small_or_same(proposals(sample_exact(texts, batch, syn_id, f"{seed}-draw")))
+        unique = _matches(synthetic, columns, sets, tried, "n_syn").filter("n_syn = 1")
+        chosen, _ = small_or_same(tried.join(F.broadcast(unique), keys).drop("n_syn").orderBy("drawn").limit(n_attacks))
+        if chosen.count() < n_attacks:
+            chosen = None
+    if chosen is None:
+        every = per_set(texts.select(*columns), columns, sets)
+        unique = every.groupBy(*keys).agg(F.count("*").alias("n_syn")).filter("n_syn = 1").drop("n_syn")
+        first = proposals(texts).join(unique, keys).orderBy("drawn").limit(n_attacks)
+        chosen, small = small_or_same(first)
+    hits = _matches(original, columns, sets, chosen, "hits", small)
+    return chosen.drop("drawn").join(hits, keys, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
 def singling_out_multivariate(original: DataFrame, synthetic: DataFrame, columns: Sequence[str], n_cols: int = 3,

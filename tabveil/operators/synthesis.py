@@ -26,8 +26,9 @@ from tabveil.functions.hashing import fast_uniform
 from tabveil.operators.noise import (
     add_gaussian, gaussian_scale, gumbel_choice, selection_epsilon, zcdp_budget,
 )
+from tabveil.operators.expand import key_columns, per_set
 from tabveil.operators.utility import column_pairs
-from tabveil.session import materialize
+from tabveil.session import materialize, small_or_same
 
 MAX_CELLS = 50_000
 Domain = Mapping[str, Sequence[str]]
@@ -73,18 +74,19 @@ def cell_counts(df: DataFrame, domain: Domain, pairs: Sequence[tuple[str, str]])
     """
     columns = list(domain)
     texts = df.select(*[text.as_text(F.col(c)).alias(c) for c in columns])
-    cells = [F.struct(F.col(c).alias("x"), F.lit("").alias("y")).alias(f"s{i}") for i, c in enumerate(columns)]
-    cells += [F.struct(F.col(a).alias("x"), F.col(b).alias("y")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    names = [f"s{i}" for i in range(len(columns))] + [f"p{i}" for i in range(len(pairs))]
-    counted = texts.select(*cells).unpivot([], names, "cell", "v").groupBy("cell", "v").agg(F.count("*").alias("n"))
+    sets = [(c,) for c in columns] + list(pairs)
+    counted = per_set(texts, columns, sets).groupBy(*key_columns(sets)).agg(F.count("*").alias("n"))
+    counted = counted.withColumnsRenamed({"k0": "x", "k1": "y"})
+    if not pairs:
+        counted = counted.withColumn("y", F.lit(""))
     spark = df.sparkSession
-    plan = [(f"s{i}", c, None) for i, c in enumerate(columns)] + [(f"p{i}", a, b) for i, (a, b) in enumerate(pairs)]
+    plan = [(i, s[0], s[1] if len(s) > 1 else None) for i, s in enumerate(sets)]
     # Both tables are as short as the declared domain.
-    plan = F.broadcast(spark.createDataFrame(plan, "cell string, a string, b string"))
+    plan = F.broadcast(spark.createDataFrame(plan, "set_no int, a string, b string"))
     codes = domain_table(spark, domain)
     code_a = F.broadcast(codes.select(F.col("feature").alias("a"), F.col("value").alias("x"), F.col("code").alias("code_a")))
     code_b = F.broadcast(codes.select(F.col("feature").alias("b"), F.col("value").alias("y"), F.col("code").alias("code_b")))
-    named = counted.join(plan, "cell").select("a", "b", F.col("v.x").alias("x"), F.col("v.y").alias("y"), "n")
+    named = counted.join(plan, "set_no").select("a", "b", "x", "y", "n")
     coded = named.join(code_a, ["a", "x"]).join(code_b, ["b", "y"], "left")
     return coded.filter(F.col("b").isNull() | F.col("code_b").isNotNull()).select("a", "b", "code_a", "code_b", "n")
 
@@ -325,7 +327,8 @@ def fit(df: DataFrame | ExactMarginals, domain: Domain | None = None, epsilon: f
 
 
 # --- drawing rows ----------------------------------------------------------
-def draw_column(rows: DataFrame, model: SynthModel, column: str, parent: str | None, u: Column) -> DataFrame:
+def draw_column(rows: DataFrame, model: SynthModel, table: DataFrame, column: str, parent: str | None,
+                u: Column) -> DataFrame:
     """Add the code of one column given its parent's code and a uniform number.
 
     Each interval is filed under the equal slices of [0, 1) it touches, so a row
@@ -334,7 +337,7 @@ def draw_column(rows: DataFrame, model: SynthModel, column: str, parent: str | N
     pair, which ``max_cells`` bounds, so it is broadcast.
     """
     k = len(model.domain[column])
-    cells = model.table.filter((F.col("column") == column) & (F.col("lo") < F.col("hi")))
+    cells = table.filter((F.col("column") == column) & (F.col("lo") < F.col("hi")))
     first = F.floor(F.col("lo") * k)
     last = F.least(F.floor(F.col("hi") * k), F.lit(k - 1))
     filed = cells.select(
@@ -364,8 +367,9 @@ def generate(model: SynthModel, n: int | None = None, seed: int = 42, row_id: st
     n = model.n if n is None else n
     rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     rows = rows.withColumnRenamed("id", row_id)
+    table, _ = small_or_same(model.table)
     for column, parent in model.order:
-        rows = draw_column(rows, model, column, parent, uniform(F.col(row_id), f"{seed}-{column}"))
+        rows = draw_column(rows, model, table, column, parent, uniform(F.col(row_id), f"{seed}-{column}"))
     decoded = [
         F.element_at(F.lit(list(model.domain[c])).cast(T.ArrayType(T.StringType())), F.col(f"c_{c}") + 1).alias(c)
         for c in model.domain

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabveil.functions import text
 from tabveil.functions.scores import safe_round
 from tabveil.operators.clean import common_columns
+from tabveil.operators.expand import per_set
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,14 +23,10 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return texts.unpivot([], list(columns), "feature", "value").filter(F.col("value").isNotNull())
 
 
-def _long_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows (feature, value) for column pairs, the value a struct of both."""
-    both = [
-        F.struct(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ]
-    long = df.select(*both).unpivot([], [f"p{i}" for i in range(len(pairs))], "feature", "value")
-    return long.filter(F.col("value.a").isNotNull() & F.col("value.b").isNotNull())
+def _long_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows (feature, value, other) for column pairs; the feature is the pair's number."""
+    long = per_set(df, columns, pairs).withColumnsRenamed({"set_no": "feature", "k0": "value", "k1": "other"})
+    return long.filter(F.col("value").isNotNull() & F.col("other").isNotNull())
 
 
 def with_share(counts: DataFrame, count: str = "n", name: str = "p", by: Sequence[str] = ("feature",)) -> DataFrame:
@@ -51,14 +48,15 @@ def marginals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def _aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     """Counts and shares of two long tables; a value absent on one side counts 0."""
+    keys = left.columns
     tagged = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    counts = tagged.groupBy("feature", "value").agg(
+    counts = tagged.groupBy(*keys).agg(
         F.count_if(F.col("side") == 0).alias("n_left"), F.count_if(F.col("side") == 1).alias("n_right")
     )
     totals = counts.groupBy("feature").agg(F.sum("n_left").alias("t_left"), F.sum("n_right").alias("t_right"))
     # One row per feature.
     return counts.join(F.broadcast(totals), "feature").select(
-        "feature", "value", "n_left", "n_right",
+        *keys, "n_left", "n_right",
         F.when(F.col("t_left") > 0, F.col("n_left") / F.col("t_left")).otherwise(0.0).alias("p"),
         F.when(F.col("t_right") > 0, F.col("n_right") / F.col("t_right")).otherwise(0.0).alias("q"),
         (F.col("t_left") > 0).alias("has_left"), (F.col("t_right") > 0).alias("has_right"),
@@ -101,13 +99,12 @@ def column_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
 
 def jsd_per_pair(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Jensen–Shannon distance of the joint distribution of every column pair."""
-    pairs = column_pairs(columns or common_columns(left, right))
-    distances = _distances(_aligned(_long_pairs(left, pairs), _long_pairs(right, pairs)))
-    number = F.substring("feature", 2, 9).cast("int")
-    first = F.array(*[F.lit(a) for a, _ in pairs])
-    second = F.array(*[F.lit(b) for _, b in pairs])
+    columns = list(columns or common_columns(left, right))
+    pairs = column_pairs(columns)
+    distances = _distances(_aligned(_long_pairs(left, columns, pairs), _long_pairs(right, columns, pairs)))
+    first, second = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
     return distances.select(
-        F.element_at(first, number + 1).alias("column_a"), F.element_at(second, number + 1).alias("column_b"), "jsd"
+        F.get(first, F.col("feature")).alias("column_a"), F.get(second, F.col("feature")).alias("column_b"), "jsd"
     )
 
 

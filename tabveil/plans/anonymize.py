@@ -290,10 +290,11 @@ def experiment_row(report: DataFrame, wrangling_score: float) -> DataFrame:
 
 def status_table(report: DataFrame) -> DataFrame:
     """The report as (metric, value, status) lines."""
+    def line(name: str, status=None):
+        status = F.lit(None).cast("string") if status is None else status
+        return F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"), status.alias("status"))
+
     lines = F.array(
-        F.struct(F.lit("epsilon").alias("metric"), F.col("epsilon").alias("value"), F.lit(None).cast("string").alias("status")),
-        F.struct(F.lit("utility"), F.col("utility"), F.lit(None).cast("string")),
-        *[F.struct(F.lit(c), F.col(c), traffic_light(F.col(c))) for c in RISK_COLUMNS],
-        F.struct(F.lit("privacy_score"), F.col("privacy_score"), F.lit(None).cast("string")),
+        line("epsilon"), line("utility"), *[line(c, traffic_light(F.col(c))) for c in RISK_COLUMNS], line("privacy_score")
     )
     return report.select(F.inline(lines))

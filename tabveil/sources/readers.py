@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabveil.session import spread
+
 # Matches both single files and Spark's folders of part files.
 EPSILON_IN_NAME = r"eps_([0-9.eE+-]+)\.parquet"
 
@@ -27,10 +29,13 @@ EXPERIMENT_LOG_SCHEMA = T.StructType(
 )
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet table; a column list prunes the scan."""
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+                 balance: bool = False) -> DataFrame:
+    """Parquet table; a column list prunes the scan. ``balance`` deals the rows of
+    a few small files out over the cores, for work that multiplies rows."""
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if balance else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ";",
@@ -45,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: st
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet or delimited text, by the ending of the path."""
     if path.lower().rstrip("/").endswith(".parquet"):
-        return read_parquet(spark, path)
+        return read_parquet(spark, path, balance=True)
     if schema is None:
         raise ValueError("a delimited file needs a schema")
     return read_csv(spark, path, schema)
