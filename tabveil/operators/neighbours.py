@@ -46,20 +46,29 @@ def nearest(targets: DataFrame, table: DataFrame, columns: Sequence[str], row_id
     """
     columns, m = list(columns), len(columns)
     keys = ["mask", *[f"k{i}" for i in range(m)]]
-    row = F.struct(F.col(row_id).alias("neighbour"), *[F.col(c).alias(f"__p_{c}") for c in payload])
-    combos = table.groupBy(*columns).agg(F.min(row).alias("best"))
-    index = _keyed(combos, columns, first=1).groupBy(*keys).agg(F.min("best").alias("best"))
+    carried = {c: f"__p_{c}" for c in payload}
+    # Only the id is ever aggregated, so that all steps are hash aggregations;
+    # the payload is a grouping key here and fetched by id at the end.
+    rows = table.select(*columns, *[F.col(c).alias(n) for c, n in carried.items()], F.col(row_id).alias("neighbour"))
+    rows = rows.groupBy(*columns, *carried.values()).agg(F.min("neighbour").alias("neighbour"))
+    combos = rows.groupBy(*columns).agg(F.min("neighbour").alias("neighbour"))
+    index = _keyed(combos, columns, first=1).groupBy(*keys).agg(F.min("neighbour").alias("neighbour"))
     wanted = _keyed(targets.select(*columns).distinct(), columns, first=1)
-    found = F.struct(_distance(m).alias("distance"), F.col("best"))
-    met = wanted.join(index, keys, "left").groupBy(*columns).agg(
-        F.min(F.when(F.col("best").isNotNull(), found)).alias("found")
-    )
-    anything = combos.agg(F.min("best")).scalar()
-    apart = F.when(anything.isNotNull(), F.struct(F.lit(m).alias("distance"), anything.alias("best")))
-    met = met.withColumn("found", F.coalesce("found", apart)).filter("found is not null")
-    return met.select(
-        *columns, "found.distance", "found.best.neighbour",
-        *[F.col(f"found.best.__p_{c}").alias(c if c not in columns else f"nearest_{c}") for c in payload],
+    at = [F.min(F.when(_distance(m) == d, F.col("neighbour"))).alias(f"__at_{d}") for d in range(m)]
+    met = wanted.join(index, keys, "left").groupBy(*columns).agg(*at)
+    met = met.withColumn(f"__at_{m}", combos.agg(F.min("neighbour")).scalar())
+    levels = [F.col(f"__at_{d}") for d in range(m + 1)]
+    distance = F.when(F.lit(False), F.lit(None).cast("int"))
+    for d, level in enumerate(levels):
+        distance = distance.when(level.isNotNull(), d)
+    found = met.select(*columns, distance.alias("distance"), F.coalesce(*levels).alias("neighbour"))
+    found = found.filter(F.col("neighbour").isNotNull())
+    if not carried:
+        return found
+    fetched = found.join(rows.select("neighbour", *carried.values()), "neighbour")
+    return fetched.select(
+        *columns, "distance", "neighbour",
+        *[F.col(n).alias(c if c not in columns else f"nearest_{c}") for c, n in carried.items()],
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabveil.functions.hashing import leading_int, row_digest
+from tabveil.session import small_or_same
 
 DIGEST_DIGITS = 4  # 65,536 buckets of a uniform digest
 SPLITS = 256
@@ -42,7 +43,10 @@ def nth_keys(df: DataFrame, ids: Sequence[str], seed: int | str, wanted: DataFra
             spans.filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
             .select(*by, "bucket", (F.col("k") - F.col("upto") + F.col("n")).alias("rank"))
         )
-        inside = keys.join(cut, [*by, "bucket"])
+        # One row per group; broadcast if there are few groups, so that the table
+        # is filtered where it lies.
+        cut, small = small_or_same(cut)
+        inside = keys.join(F.broadcast(cut) if small else cut, [*by, "bucket"])
     else:
         k = wanted.select("k").scalar()
         cut = spans.filter(F.col("upto") >= k).agg(

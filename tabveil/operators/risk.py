@@ -151,22 +151,21 @@ def _drawn_predicates(original: DataFrame, synthetic: DataFrame, columns: Sequen
     texts = all_text(synthetic, columns).select(syn_id, *[c for c in columns if c != syn_id])
 
     def proposals(df: DataFrame) -> DataFrame:
-        own = per_set(df.select("*", drawn), columns, sets, keep=["drawn"], number=number)
-        return own.groupBy(*keys).agg(F.min("drawn").alias("drawn"))
+        return per_set(df.select("*", drawn), columns, sets, keep=["drawn"], number=number)
 
     batch = CANDIDATES_PER_ATTACK * n_attacks
     chosen, small = None, batch <= BROADCAST_ROWS
     if small:
         tried, _ = small_or_same(proposals(sample_exact(texts, batch, syn_id, f"{seed}-draw")))
-        unique = _matches(synthetic, columns, sets, tried, "n_syn").filter("n_syn = 1")
+        unique = _matches(synthetic, columns, sets, tried.select(*keys).distinct(), "n_syn").filter("n_syn = 1")
+        # Unique in the table, so proposed by one row at most.
         chosen, _ = small_or_same(tried.join(F.broadcast(unique), keys).drop("n_syn").orderBy("drawn").limit(n_attacks))
         if chosen.count() < n_attacks:
             chosen = None
     if chosen is None:
         every = per_set(texts.select(*columns), columns, sets)
         unique = every.groupBy(*keys).agg(F.count("*").alias("n_syn")).filter("n_syn = 1").drop("n_syn")
-        first = proposals(texts).join(unique, keys).orderBy("drawn").limit(n_attacks)
-        chosen, small = small_or_same(first)
+        chosen, small = small_or_same(proposals(texts).join(unique, keys).orderBy("drawn").limit(n_attacks))
     hits = _matches(original, columns, sets, chosen, "hits", small)
     return chosen.drop("drawn").join(hits, keys, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # A table is broadcast only when it is known to stay under both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def build_session(app: str = "tabveil", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,19 +70,13 @@ def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | N
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over the cores when the input has fewer splits than cores.
+    """Deal the rows of a scan out over the cores when it has fewer splits than cores.
 
     A few small files would leave everything up to the first shuffle to as many
     tasks. Larger inputs come in enough splits by themselves and pass unchanged.
     """
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(cores) if size <= cores * SPLIT_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def small_or_same(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

@@ -144,7 +144,12 @@ def test_lookup_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     sized = features.group_size(rows_of(spark, ["a"] * 5 + ["b"]), ["x"], "i", "n")
     assert Counter(r.n for r in sized.collect()) == {5: 5, 1: 1}
-    assert "BroadcastHashJoin" not in session.lookup(spark.range(3), spark.range(3), ["id"]).limit(1)._jdf.toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = session.lookup(spark.range(3), spark.range(3), ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
 
 
 def test_class_weight(spark):
