@@ -12,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _numbers(values: Sequence[int]):
-    return F.array(*[F.lit(v) for v in values])
+from tabveil.functions.literals import number_array
 
 
 def per_set(df: DataFrame, columns: Sequence[str], sets: Sequence[Sequence[str]], keep: Sequence[str] = (),
@@ -32,7 +30,7 @@ def per_set(df: DataFrame, columns: Sequence[str], sets: Sequence[Sequence[str]]
     rows = df.select(*keep, values.alias("values"), every.alias("set_no"))
     keys = []
     for j in range(width):
-        element = _numbers([place[s[j]] if j < len(s) else len(columns) for s in sets])
+        element = number_array([place[s[j]] if j < len(s) else len(columns) for s in sets])
         keys.append(F.get("values", F.get(element, F.col("set_no"))).alias(f"k{j}"))
     return rows.select(*keep, "set_no", *keys)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabveil.functions import text
+from tabveil.functions.literals import is_one_of
 from tabveil.operators.clean import normalize_text, select_available
 from tabveil.operators.ordering import order_statistics
 from tabveil.roles import (
@@ -98,7 +99,7 @@ def keep_categories(df: DataFrame, kept: Mapping[str, Sequence[str]], rest: str
     """
     literal = {c: v for c, v in kept.items() if len(v) <= LITERAL_VALUES}
     out = df.select(*[
-        F.when(F.col(c).cast("string").isin(list(literal[c])), F.col(c)).otherwise(rest).alias(c)
+        F.when(is_one_of(c, literal[c]), F.col(c)).otherwise(rest).alias(c)
         if c in literal else F.col(c)
         for c in df.columns
     ])

@@ -18,11 +18,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tabveil.functions import text
 from tabveil.functions.hashing import fast_uniform
+from tabveil.functions.literals import text_array
 from tabveil.operators.noise import (
     add_gaussian, gaussian_scale, gumbel_choice, selection_epsilon, zcdp_budget,
 )
@@ -327,52 +327,45 @@ def fit(df: DataFrame | ExactMarginals, domain: Domain | None = None, epsilon: f
 
 
 # --- drawing rows ----------------------------------------------------------
-def draw_column(rows: DataFrame, model: SynthModel, table: DataFrame, column: str, parent: str | None,
-                u: Column) -> DataFrame:
-    """Add the code of one column given its parent's code and a uniform number.
-
-    Each interval is filed under the equal slices of [0, 1) it touches, so a row
-    finds its interval by an equi-join on (parent code, slice) and compares one
-    or two candidates. The filed table has at most two entries per cell of the
-    pair, which ``max_cells`` bounds, so it is broadcast.
+def filed_intervals(model: SynthModel) -> DataFrame:
+    """Each interval under every equal slice of [0, 1) it touches: column, slot,
+    lo, hi, code. A slot numbers a (parent code, slice).
+
+    With as many slices as the column has values, there are at most two entries
+    per cell of the pair, which ``max_cells`` bounds.
     """
-    k = len(model.domain[column])
-    cells = table.filter((F.col("column") == column) & (F.col("lo") < F.col("hi")))
-    first = F.floor(F.col("lo") * k)
-    last = F.least(F.floor(F.col("hi") * k), F.lit(k - 1))
-    filed = cells.select(
-        F.col("parent_code"), F.col("lo"), F.col("hi"), F.col("code").alias(f"c_{column}"),
-        F.explode(F.sequence(first, last)).alias("slice"),
-    ).select(
-        (F.col("parent_code").cast("long") * k + F.col("slice")).alias("__slot"), "lo", "hi", f"c_{column}"
-    )
-    parent_code = F.lit(0) if parent is None else F.col(f"c_{parent}")
-    placed = rows.withColumn("__u", u).withColumn(
-        "__key", parent_code.cast("long") * k + F.floor(F.col("__u") * k)
-    )
-    met = placed.join(
-        F.broadcast(filed),
-        (F.col("__key") == F.col("__slot")) & (F.col("lo") <= F.col("__u")) & (F.col("__u") < F.col("hi")),
-    )
-    return met.drop("__u", "__key", "__slot", "lo", "hi")
+    sizes = F.create_map(*[x for c, v in model.domain.items() for x in (F.lit(c), F.lit(len(v)))])
+    cells = model.table.filter(F.col("lo") < F.col("hi")).withColumn("k", sizes[F.col("column")])
+    slices = F.sequence(F.floor(F.expr("lo * k")), F.least(F.floor(F.expr("hi * k")), F.expr("k - 1L")))
+    filed = cells.select("column", "parent_code", "lo", "hi", "code", "k", F.explode(slices).alias("slice"))
+    return filed.select("column", F.expr("parent_code * bigint(k) + slice").alias("slot"), "lo", "hi", "code")
 
 
 def generate(model: SynthModel, n: int | None = None, seed: int = 42, row_id: str = "row_id",
              uniform: Callable[[Column, str], Column] = fast_uniform, partitions: int | None = None) -> DataFrame:
     """Draw ``n`` rows (as many as were fitted by default); no shuffle.
 
-    Drawing uses the private model only, so its seed costs no privacy.
+    Per column, a row finds its interval by an equi-join on the slot and compares
+    one or two candidates. The bounded slot table is broadcast. Drawing uses the
+    private model only, so its seed costs no privacy.
     """
     spark = model.table.sparkSession
     n = model.n if n is None else n
     rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     rows = rows.withColumnRenamed("id", row_id)
-    table, _ = small_or_same(model.table)
+    filed, _ = small_or_same(filed_intervals(model))
+    drawn: list[str] = []
     for column, parent in model.order:
-        rows = draw_column(rows, model, table, column, parent, uniform(F.col(row_id), f"{seed}-{column}"))
+        k = len(model.domain[column])
+        u = uniform(F.col(row_id), f"{seed}-{column}")
+        up = F.lit(0) if parent is None else F.col(f"c_{parent}")
+        keyed = rows.select("*", u.alias("u"), (up.cast("long") * k + F.floor(u * k)).alias("key"))
+        slots = F.broadcast(filed.filter(F.col("column") == column))
+        inside = (F.col("key") == F.col("slot")) & (F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))
+        rows = keyed.join(slots, inside).select(row_id, *drawn, F.col("code").alias(f"c_{column}"))
+        drawn.append(f"c_{column}")
     decoded = [
-        F.element_at(F.lit(list(model.domain[c])).cast(T.ArrayType(T.StringType())), F.col(f"c_{c}") + 1).alias(c)
-        for c in model.domain
+        F.get(text_array(model.domain[c]), F.col(f"c_{c}")).alias(c) for c in model.domain
     ]
     return rows.select(row_id, *decoded)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.functions import text
+from tabveil.functions.literals import text_array
 from tabveil.functions.scores import safe_round
 from tabveil.operators.clean import common_columns
 from tabveil.operators.expand import per_set
@@ -102,7 +103,7 @@ def jsd_per_pair(left: DataFrame, right: DataFrame, columns: Sequence[str] | Non
     columns = list(columns or common_columns(left, right))
     pairs = column_pairs(columns)
     distances = _distances(_aligned(_long_pairs(left, columns, pairs), _long_pairs(right, columns, pairs)))
-    first, second = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
+    first, second = (text_array([p[i] for p in pairs]) for i in (0, 1))
     return distances.select(
         F.get(first, F.col("feature")).alias("column_a"), F.get(second, F.col("feature")).alias("column_b"), "jsd"
     )

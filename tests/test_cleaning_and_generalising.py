@@ -182,3 +182,9 @@ def test_status_labels(spark):
     assert [b and b.split()[1] for b in bands] == ["INSIGNIFICANTE", "MODERADO", "MODERADO", "ALTO", "CRÍTICO", None]
     lights = values(df.select("i", scores.traffic_light(F.col("x")).alias("x")))
     assert [b and b.split()[1] for b in lights] == ["Seguro", "Moderado", "Vulnerabilidade", "Vulnerabilidade", "Vulnerabilidade", None]
+
+
+def test_kept_values_may_hold_quotes(spark):
+    items = ["it's"] * 5 + ["back\\slash"] * 4 + ['say "hi"'] * 3 + ["x", "y"]
+    got = Counter(values(generalize.top_n_other(rows_of(spark, items), {"x": 3})))
+    assert got == {"it's": 5, "back\\slash": 4, 'say "hi"': 3, "OUTROS_GRUPOS": 2}
