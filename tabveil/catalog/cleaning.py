@@ -94,7 +94,7 @@ FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n\r\t]', '?', 'g') AS text, lan
 """)
 def normalize_text(spark, sf_dir):
     # Only ASCII is compared: engines map the case of other letters differently.
-    docs = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents", balance=True).select(
         "doc_id", F.regexp_replace("text", r"[^ -~\n\r\t]", "?").alias("text"), F.expr("nullif(lang, 'de') AS lang")
     )
     return clean.normalize_text(docs, ["text", "lang"])

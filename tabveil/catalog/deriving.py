@@ -45,7 +45,7 @@ def collapse_two_way(spark, sf_dir):
 SELECT doc_id, CASE WHEN {" OR ".join(f"contains(upper(text), '{t}')" for t in TITLES)} THEN 1 ELSE 0 END AS has_title
 FROM documents""")
 def title_flag(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", balance=True)
     return docs.select("doc_id", text.title_flag(F.col("text")).alias("has_title"))
 
 
@@ -53,7 +53,7 @@ def title_flag(spark, sf_dir):
 SELECT doc_id, CASE WHEN regexp_matches(upper(text), '(^|[^\\p{{L}}\\p{{N}}])({"|".join(TITLES)})([^\\p{{L}}\\p{{N}}]|$)')
   THEN 1 ELSE 0 END AS has_title FROM documents""")
 def title_flag_whole_word(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", balance=True)
     return docs.select("doc_id", text.title_flag(F.col("text"), whole_word=True).alias("has_title"))
 
 

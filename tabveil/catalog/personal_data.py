@@ -31,7 +31,7 @@ def _people(spark, sf_dir):
 
 @query("cpf_loose", f"SELECT doc_id, regexp_matches(text, '{LOOSE}') AS hit FROM documents")
 def cpf_loose(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", pii.matches(F.col("text")).alias("hit"))
+    return table(spark, sf_dir, "documents", balance=True).select("doc_id", pii.matches(F.col("text")).alias("hit"))
 
 
 @query("cpf_strict", f"""
@@ -78,7 +78,7 @@ SELECT feature, round(share, 6) + 0.0 AS share, share > 0.1 AS is_pii FROM (
   UNION ALL SELECT 'lang', avg(CASE WHEN regexp_matches(lang, '{LOOSE}') THEN 1.0 ELSE 0.0 END) FROM documents
   UNION ALL SELECT 'source', avg(CASE WHEN regexp_matches(source, '{LOOSE}') THEN 1.0 ELSE 0.0 END) FROM documents)""")
 def pii_columns_documents(spark, sf_dir):
-    return pii.pii_columns(table(spark, sf_dir, "documents")).withColumn("share", r6("share"))
+    return pii.pii_columns(table(spark, sf_dir, "documents", balance=True)).withColumn("share", r6("share"))
 
 
 @query("pii_drop", "SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 20 = 0 THEN "
@@ -109,4 +109,4 @@ def pii_treatments(spark, sf_dir):
 @query("redact_documents", f"""
 SELECT doc_id, md5(regexp_replace(text, '{LOOSE}', '<CPF>', 'g')) AS digest FROM documents""")
 def redact_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(pii.redacted(F.col("text"))).alias("digest"))
+    return table(spark, sf_dir, "documents", balance=True).select("doc_id", F.md5(pii.redacted(F.col("text"))).alias("digest"))
