@@ -25,7 +25,7 @@ def as_text(column: Column) -> Column:
 def normalized(column: Column) -> Column:
     """Trimmed, upper-cased text; null and ``NAN`` become ``NULL``."""
     text = F.upper(F.trim(column.cast("string"), F.lit(WHITESPACE)))
-    return F.when(text.isNull() | (text == "NAN"), NULL_TOKEN).otherwise(text)
+    return F.coalesce(F.nullif(text, F.lit("NAN")), F.lit(NULL_TOKEN))
 
 
 def contains_flag(column: Column, needle: str, excluding: str | None = None) -> Column:
