@@ -233,7 +233,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """(id, low, high): byte ranges to remove from documents (id, body); they may overlap."""
     anchors = materialize(find_anchors(documents, length, gram), "anchors")
     groups = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
-    groups = groups.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("differs"))
+    # Written first: a join between plain shuffles is one whose hot partitions can be split.
+    groups = materialize(groups.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("differs")), "groups")
     members = materialize(anchors.join(groups, "h"), "members")
     classes = members.groupBy("h", "ctx", "differs").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.first("span").alias("span"))
@@ -245,7 +246,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     matched = _match_groups(contexts.where("context is not null"), length)
     windows = contexts.where("window is not null")
     known = windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("f"))
-    known = known.where("n > 1").select("h", "window", F.col("f.id").alias("first"), F.col("f.at").alias("first_at"))
+    known = materialize(known.where("n > 1").select("h", "window", F.col("f.id").alias("first"), F.col("f.at").alias("first_at")), "known")
     again = windows.join(known, ["h", "window"]).withColumn(
         "earlier", ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("at") == F.col("first_at"))))
     again = again.select("id", F.col("at").alias("low"), (F.col("at") + length).alias("high"), "earlier")
