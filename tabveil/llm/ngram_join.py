@@ -260,6 +260,8 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     # Round one: the leading set of a list and size band, for the longest lists of each set.
     banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold))))
     leaders = banded.groupBy("token", "band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Written first, as the other sides of list joins: joins between plain shuffles can be split where they are hot.
+    leaders = materialize(leaders, "leaders")
     followed = banded.join(leaders, ["token", "band"]).where(F.col("key") != F.col("leader")).groupBy("key", "leader").agg(
         F.max("members").alias("members"), F.count(F.lit(1)).alias("shared"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("members"), F.desc("shared"), "leader"))
@@ -272,9 +274,11 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     # Round two: lists with several components; the largest one's entries do not meet each other.
     marked = lists.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     spread = marked.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("token")
+    spread = materialize(spread, "spread")
     mixed = materialize(marked.join(spread, "token"), "mixed")
     shares = mixed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "label"))["label"].alias("major"))
+    shares = materialize(shares, "shares")
     flagged = mixed.join(shares, "token")
     minor = flagged.where("label != major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "pos", "label")])
     other = flagged.select("token", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "pos", "label")], (F.col("label") == F.col("major")).alias("y_major"))

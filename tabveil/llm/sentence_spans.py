@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm import textbytes as tb
+from tabveil.session import materialize
 
 SENTENCES = 2
 MIN_WORDS = 10
@@ -79,6 +80,8 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", text: str = "text", s
     picked = documents.select(F.col(id_column).alias("id"), F.col(text).alias("body"))
     runs = run_rows(picked, size, min_words)
     firsts = runs.groupBy("run").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
+    # Written first: a join between plain shuffles is one whose hot partitions can be split.
+    firsts = materialize(firsts, "firsts")
     later = runs.join(firsts, "run").where(F.col("id") > F.col("first"))
     per_doc = later.groupBy("id").agg(F.collect_set("run").alias("runs"))
 

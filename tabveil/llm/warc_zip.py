@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.session import scratch_path
+from tabveil.session import materialize, scratch_path
 
 # Fixed values of the formats.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -205,6 +205,8 @@ def mark_revisits(pages: DataFrame, id_column: str = "page_id", url_column: str
     rows = rows.withColumn("digest", F.sha1("payload"))
     firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # Written first: a join between plain shuffles is one whose hot partitions can be split.
+    firsts = materialize(firsts, "firsts")
     return rows.join(firsts, "digest", "left").withColumn(
         "refers_to", F.when(F.col("first") != F.col("id"), F.col("first"))).select("id", "url", "payload", "refers_to")
 
