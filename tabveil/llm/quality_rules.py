@@ -88,8 +88,8 @@ def measure_slice(texts: tb.Texts) -> dict[str, np.ndarray]:
 
 
 def measure(documents: DataFrame, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and the measures of each text."""
-    picked = documents.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text).alias("measured_text"))
+    """The columns of ``keep``, as keep_0, keep_1 and so on, and the measures of each text."""
+    picked = documents.select(*[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("measured_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +102,7 @@ def measure(documents: DataFrame, keep: Sequence[str] = (), text: str = "text")
 
     schema = ", ".join([f"keep_{i} {picked.schema[f'keep_{i}'].dataType.simpleString()}" for i in range(len(keep))]
                        + [f"{m} long" for m in MEASURES])
-    measured = picked.mapInArrow(run, schema)
-    return measured.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *MEASURES)
+    return picked.mapInArrow(run, schema)
 
 
 def fail_bits(rules: Sequence[Rule] = RULES) -> Column:
@@ -117,7 +116,7 @@ def fail_bits(rules: Sequence[Rule] = RULES) -> Column:
 
 def ledger(documents: DataFrame, id_column: str = "doc_id", rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per document: id, measures and ``fail_bits``."""
-    return measure(documents, [id_column]).withColumn("fail_bits", fail_bits(rules))
+    return measure(documents, [id_column]).withColumn("fail_bits", fail_bits(rules)).withColumnRenamed("keep_0", id_column)
 
 
 def rejected(policy: str | Sequence[str], rules: Sequence[Rule] = RULES) -> Column:
@@ -148,4 +147,5 @@ def ablation(book: DataFrame, policy: str | Sequence[str] = "v1", rules: Sequenc
 def keep_passing(documents: DataFrame, policy: str | Sequence[str] = "v1", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that a policy keeps, with their own columns only."""
     names = documents.columns
-    return measure(documents, names).withColumn("fail_bits", fail_bits(rules)).where(~rejected(policy, rules)).select(*names)
+    return measure(documents, names).withColumn("fail_bits", fail_bits(rules)).where(~rejected(policy, rules)).select(
+        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)])
