@@ -5,7 +5,8 @@ two sets that are similar enough share a token within a prefix of each. Index
 lists of prefix tokens hold (set, size, position).
 
 * Index skipping: a list entry is passed over by size bands and by the position
-  of the token in both sets, which bounds the overlap that is still possible.
+  of the token in both sets, which bounds the overlap that is still possible; a
+  pair is passed over when it shares too few prefix tokens to get there.
 * Answer skipping: in a first round every set is compared only with the leading
   set of its most shared lists. A set that is linked with a leader takes over the
   leader's component as its answer, and in the second round entries of one
@@ -86,7 +87,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in tb.slices(batch.column("body"), 4 * tb.SLICE_BYTES):
+            for texts in tb.slices(batch.column("body"), 2 * tb.SLICE_BYTES):
                 n = len(texts)
                 rows, hashes = shingle_sets(texts, size)
                 _, sizes, key, check = set_keys(rows, hashes, n)
@@ -116,7 +117,7 @@ def _prefixes(docs: DataFrame, size: int, threshold: int, frequent: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in tb.slices(batch.column("body"), 4 * tb.SLICE_BYTES):
+            for texts in tb.slices(batch.column("body"), 2 * tb.SLICE_BYTES):
                 rows, hashes = shingle_sets(texts, size)
                 edges, sizes, key, _ = set_keys(rows, hashes, len(texts))
                 place = hashes >> np.uint64(1)
@@ -146,11 +147,13 @@ def _prefixes(docs: DataFrame, size: int, threshold: int, frequent: np.ndarray,
                     blocks.append(b"".join([head.tobytes(), key[who].tobytes(), sizes[who].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(),
                                             low[mine].astype(np.uint32).tobytes(), np.minimum(pos[mine], 65535).astype(np.uint16).tobytes()]))
                 o, k, m = np.flatnonzero(often), len(blocks), int(often.sum())
+                # A frequent token's rows are dealt out by the sets that have it.
+                spread = (tb.mix(token[o] ^ key[owner[o]].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
                 names = ["part", "block", "token", "key", "n", "pos"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(where.astype(np.int32)), pa.array(blocks, pa.binary()), *[pa.nulls(k, pa.int64())] * 4], names=names)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(token[o].view(np.int64)), pa.array(key[owner[o]]),
+                    [pa.array(spread), pa.nulls(m, pa.binary()), pa.array(token[o].view(np.int64)), pa.array(key[owner[o]]),
                      pa.array(sizes[owner[o]]), pa.array(pos[o])], names=names)
 
     return docs.mapInArrow(run, "part int, block binary, token long, key long, n long, pos long")
@@ -166,36 +169,59 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return [token, np.repeat(key, count), np.repeat(size, count), pos]
 
 
-def _short_lists(blocks: DataFrame, parts: int) -> DataFrame:
-    """(token, key, n, pos) of rare tokens that several sets have."""
+def _lists(prefixes: DataFrame, parts: int) -> DataFrame:
+    """(token, key, n, pos) of all prefix tokens that several sets may have, each set once per token.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.column("part")[i].as_py()
-                held.append(unpack(batch.column("block")[i].as_buffer()))
-        if not held:
-            return
-        token, key, n, pos = (np.concatenate(x) for x in zip(*held))
+    Rare tokens come whole to one part, where those of a single set vanish; frequent
+    ones are spread over all parts by set and pass through.
+    """
+    names = ["token", "key", "n", "pos"]
+
+    def parted(token, key, n, pos) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(token), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + 50_000].astype(np.int64)) for c in (token, key, n, pos)], names=names)
+
+    def once(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
+        token, key, n, pos = (np.concatenate(x) for x in zip(*columns))
         order = np.lexsort((key, token))
         token, key, n, pos = token[order], key[order], n[order], pos[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n, pos = token[new], key[new], n[new], pos[new]
-        again = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        at = np.flatnonzero(again)
-        for lo in range(0, len(at), 50_000):
-            some = at[lo:lo + 50_000]
-            # Bit 62 stays free of frequent tokens, which have bit 63.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(part) << np.int64(32)) + token[some].astype(np.int64)), pa.array(key[some]), pa.array(n[some].astype(np.int64)),
-                 pa.array(pos[some].astype(np.int64))], names=["token", "key", "n", "pos"])
-
-    return blocks.repartitionById(parts, F.col("part")).mapInArrow(run, "token long, key long, n long, pos long")
+        return [c[new] for c in (token, key, n, pos)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, often, part = [], [], 0
+        for batch in batches:
+            packed = batch.column("block").is_valid().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(packed).tolist():
+                part = batch.column("part")[i].as_py()
+                rare.append(unpack(batch.column("block")[i].as_buffer()))
+            rows = batch.filter(pa.array(~packed))
+            if rows.num_rows:
+                often.append([np.asarray(rows.column(c)).astype(np.int64) for c in names])
+        if often:
+            yield from parted(*once(often))
+        if rare:
+            token, key, n, pos = once(rare)
+            again = np.zeros(len(token), bool)
+            same = token[1:] == token[:-1]
+            again[1:] |= same
+            again[:-1] |= same
+            # Frequent tokens are negative, so these cannot meet them.
+            yield from parted((np.int64(part) << np.int64(32)) + token[again].astype(np.int64), key[again], n[again], pos[again])
+
+    return prefixes.repartitionById(parts, F.col("part")).mapInArrow(run, "token long, key long, n long, pos long")
+
+
+TOKEN_BYTES = 6  # two different tokens of a pair of sets are equal in these with a chance of 2^-48
+
+
+def short_tokens(packed) -> np.ndarray:
+    """Sorted tokens from their packed leading bytes."""
+    table = np.frombuffer(packed, np.uint8).reshape(-1, TOKEN_BYTES)
+    wide = np.zeros((len(table), 8), np.uint8)
+    wide[:, 2:] = table
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -205,8 +231,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column("set_a")[i].as_buffer(), np.uint64)
-                y = np.frombuffer(batch.column("set_b")[i].as_buffer(), np.uint64)
+                x, y = (short_tokens(batch.column(c)[i].as_buffer()) for c in ("set_a", "set_b"))
                 x, y = (x, y) if len(x) < len(y) else (y, x)
                 shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 good[i] = 100 * shared >= threshold * (len(x) + len(y) - shared)
@@ -225,14 +250,21 @@ def _sets_of(keys: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> Da
             for texts in tb.slices(batch.column("body")):
                 rows, hashes = shingle_sets(texts, size)
                 edges, _, key, _ = set_keys(rows, hashes, len(texts))
+                leading = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+                # Another row with this id may have another text.
+                wanted = np.flatnonzero(key == np.asarray(batch.column("key").slice(texts.first_row, len(texts))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array([hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["key", "tokens"])
+                    [pa.array(key[wanted]), pa.array([leading[edges[i]:edges[i + 1]].tobytes() for i in wanted], pa.binary())], names=["key", "tokens"])
+
+    ids = reps.join(keys, "key").select("id", "key")
+    wanted = docs.alias("d").join(ids.alias("i"), F.col("d.id").eqNullSafe(F.col("i.id"))).select("d.body", "i.key")
+    return wanted.mapInArrow(run, "key long, tokens binary")
+
 
-    ids = reps.join(keys, "key").select("id").distinct()
-    wanted = docs.alias("d").join(ids.alias("i"), F.col("d.id").eqNullSafe(F.col("i.id"))).select("d.body")
-    found = wanted.mapInArrow(run, "key long, tokens binary")
-    # Rows that share an id may bring further sets, or one set several times.
-    return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that are links, from the sets of their own keys only."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    return verify(pairs, materialize(_sets_of(keys, reps, docs, size), "sets"), threshold)
 
 
 def _bound(a_pos, b_pos, a_n, b_n, threshold: int):
@@ -251,24 +283,21 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     frequent = np.asarray(often.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()["token"]).astype(np.int64).view(np.uint64)[::-1].copy()
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - threshold) // 100 // POSTINGS_PER_PART + 1)
-    prefixes = materialize(_prefixes(docs, size, threshold, frequent, parts), "prefixes")
-    lists = _short_lists(prefixes.where("block is not null").select("part", "block"), parts).unionByName(
-        prefixes.where("token is not null").select("token", "key", "n", "pos").distinct())
-    lists = materialize(lists, "lists")
-    reps = sets.groupBy("key").agg(F.min("id").alias("id"))
+    lists = materialize(_lists(_prefixes(docs, size, threshold, frequent, parts), parts), "lists")
+    reps = materialize(sets.groupBy("key").agg(F.min("id").alias("id")), "reps")
 
     # Round one: the leading set of a list and size band, for the longest lists of each set.
     banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold))))
     leaders = banded.groupBy("token", "band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     # Written first, as the other sides of list joins: joins between plain shuffles can be split where they are hot.
     leaders = materialize(leaders, "leaders")
-    followed = banded.join(leaders, ["token", "band"]).where(F.col("key") != F.col("leader")).groupBy("key", "leader").agg(
-        F.max("members").alias("members"), F.count(F.lit(1)).alias("shared"))
+    # Only a choice of what to try first: leaders that share at least a twentieth of a set's tokens.
+    followed = banded.join(leaders, ["token", "band"]).where(F.col("key") != F.col("leader")).groupBy("key", "leader", "n").agg(
+        F.max("members").alias("members"), F.count(F.lit(1)).alias("shared")).where(20 * F.col("shared") >= F.col("n"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("members"), F.desc("shared"), "leader"))
     tried = followed.withColumn("rank", rank).where(F.col("rank") <= ROUND_ONE).select(F.col("leader").alias("a"), F.col("key").alias("b"))
     tried = materialize(tried, "tried")
-    tokens = materialize(_sets_of(lists.select("key").distinct(), reps, docs, size), "sets")
-    links = materialize(verify(tried, tokens, threshold), "links")
+    links = materialize(_verified(tried, reps, docs, size, threshold), "links")
     labels = components(links)
 
     # Round two: lists with several components; the largest one's entries do not meet each other.
@@ -286,9 +315,15 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
         (F.col("x_label") != F.col("y_label")) & (F.col("y_major") | (F.col("x_key") < F.col("y_key")))
         & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
         & _bound(F.col("x_pos"), F.col("y_pos"), F.col("x_n"), F.col("y_n"), threshold))
-    pairs = meet.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+    met = meet.groupBy(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), (F.col("x_n") + F.col("y_n")).alias("both"),
+                       F.greatest("x_n", "y_n").alias("longer")).agg(F.count(F.lit(1)).alias("shared"))
+    # Of the two, the set whose prefix ends first shares its prefix tokens here or not at all;
+    # what else it can share lies behind its prefix.
+    pairs = met.where(100 * F.col("both") * threshold / (100 + threshold) <= 100 * (
+        F.col("shared") + F.ceil(F.col("longer") * threshold / 100) - 1)).select("a", "b")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = materialize(verify(pairs.join(done, ["a", "b"], "left_anti"), tokens, threshold), "links")
+    late = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    late = materialize(_verified(late, reps, docs, size, threshold), "links")
     return sets.select("id", "n", "key", "check").unionByName(profile.where("token is null and n = 0").select("id", "n", "key", "check")), \
         components(links.unionByName(late))
 

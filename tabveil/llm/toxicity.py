@@ -127,7 +127,7 @@ def _token_counts(df: DataFrame, with_label: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = np.asarray(batch.column("label")).astype(np.int64) if with_label else None
-            for texts in tb.slices(batch.column("body"), 8 * tb.SLICE_BYTES):
+            for texts in tb.slices(batch.column("body"), 2 * tb.SLICE_BYTES):
                 words, levels = word_levels(texts)
                 for level, hashes in enumerate(levels):
                     used = np.flatnonzero(hashes)
