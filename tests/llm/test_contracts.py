@@ -182,10 +182,12 @@ def test_packages_round_trip(spark):
 
 
 def test_held_out_accuracy(spark):
-    root = "/root/testdata/sf0.01"
+    # The 6 toxic rows held out at sf0.01 are too few: there the model calls every text clean.
+    root = "/root/testdata/sf0.1"
     found = catalog.op9_toxicity(spark, root).join(spark.read.parquet(f"{root}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
-    good, n = found.agg(F.avg((F.col("predicted") == F.col("toxic").cast("int")).cast("int")), F.count("*")).first()
-    assert n > 100 and good > 0.9
+    good, n, toxic = found.agg(F.avg((F.col("predicted") == F.col("toxic").cast("int")).cast("int")), F.count("*"), F.avg(F.col("toxic").cast("int"))).first()
+    # Better than calling every text clean.
+    assert n >= 50 and good > 0.9 and good > 1 - toxic, (good, n, toxic)
 
 
 def test_no_rules_gives_the_default(spark):
