@@ -4,11 +4,12 @@ Texts with equal sets are one set. Sets are ordered by a common token order, and
 two sets that are similar enough share a token within a prefix of each. Index
 lists of prefix tokens hold (set, size, position).
 
-* Index skipping: a list entry is passed over by size bands and by the position
-  of the token in both sets, which bounds the overlap that is still possible; a
-  pair is passed over when it shares too few prefix tokens to get there.
+* Index skipping: a list entry is passed over by sizes and by the position of the
+  token in both sets, which bounds the overlap that is still possible; of the
+  tokens that a similar pair must share only the first few bring it up.
 * Answer skipping: in a first round every set is compared only with the leading
-  set of its most shared lists. A set that is linked with a leader takes over the
+  set of its most shared lists, the one that has the list's token earliest and so
+  has the fewest tokens of its own. A set that is linked with a leader takes over the
   leader's component as its answer, and in the second round entries of one
   component are never compared with each other: only lists that hold several
   components are gone through, and there only entries outside of the list's
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +44,7 @@ THRESHOLD = 75  # per cent
 FREQUENT = 200_000  # tokens of the order's tail, at most
 FREQUENT_FROM = 16
 ROUND_ONE = 2  # leaders that a set is compared with in the first round
+FIRST_SHARED = 3  # common tokens by which a pair is found in the second round; any number finds all
 POSTINGS_PER_PART = 2_000_000
 
 
@@ -267,10 +269,29 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, thr
     return verify(pairs, materialize(_sets_of(keys, reps, docs, size), "sets"), threshold)
 
 
-def _bound(a_pos, b_pos, a_n, b_n, threshold: int):
-    """Can sets that share a token at these positions still be similar enough?"""
-    most = F.least(a_pos, b_pos) + 1 + F.least(a_n - a_pos, b_n - b_pos) - 1
-    return 100 * most >= threshold * (a_n + b_n - most)
+def _needed(threshold: int) -> Column:
+    """How many list tokens two similar sets share.
+
+    Of the two, the set whose prefix ends first shares its prefix tokens in the lists
+    or not at all; what else it can share lies behind its prefix.
+    """
+    return F.ceil((F.col("x_n") + F.col("y_n")) * threshold / (100 + threshold)) - F.ceil(F.greatest("x_n", "y_n") * threshold / 100) + 1
+
+
+def _may_meet(threshold: int) -> Column:
+    """Can two sets with a common token be similar, and is it early enough to be one of their first common ones?
+
+    ``upto`` counts a set's list tokens up to this one and ``after`` those behind it.
+    Up to a common token both sets share list tokens only. Behind it that holds for
+    the prefix that ends first, and which one does is not known here: the other set
+    may share any of its tokens.
+    """
+    listed = {s: F.col(f"{s}_after") + F.ceil(F.col(f"{s}_n") * threshold / 100) - 1 for s in "xy"}
+    left = {s: F.col(f"{s}_n") - F.col(f"{s}_pos") - 1 for s in "xy"}
+    most = F.least("x_upto", "y_upto") + F.greatest(F.least(listed["x"], left["y"]), F.least(listed["y"], left["x"]))
+    return (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")) \
+        & (100 * most >= threshold * (F.col("x_n") + F.col("y_n") - most)) \
+        & (F.least("x_after", "y_after") >= _needed(threshold) - FIRST_SHARED)
 
 
 def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +309,7 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
 
     # Round one: the leading set of a list and size band, for the longest lists of each set.
     banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold))))
-    leaders = banded.groupBy("token", "band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "key"))["key"].alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     # Written first, as the other sides of list joins: joins between plain shuffles can be split where they are hot.
     leaders = materialize(leaders, "leaders")
     # Only a choice of what to try first: leaders that share at least a twentieth of a set's tokens.
@@ -304,23 +325,24 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     marked = lists.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     spread = marked.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("token")
     spread = materialize(spread, "spread")
-    mixed = materialize(marked.join(spread, "token"), "mixed")
+    # What a set can share with another component lies in these lists or behind its prefix.
+    own = Window.partitionBy("key")
+    mixed = marked.join(spread, "token").withColumns({
+        "upto": F.count(F.lit(1)).over(own.orderBy("pos")),
+        "after": F.count(F.lit(1)).over(own) - F.rank().over(own.orderBy("pos"))})
+    mixed = materialize(mixed, "mixed")
     shares = mixed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "label"))["label"].alias("major"))
     shares = materialize(shares, "shares")
     flagged = mixed.join(shares, "token")
-    minor = flagged.where("label != major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "pos", "label")])
-    other = flagged.select("token", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "pos", "label")], (F.col("label") == F.col("major")).alias("y_major"))
+    minor = flagged.where("label != major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "pos", "upto", "after", "label")])
+    other = flagged.select("token", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "pos", "upto", "after", "label")], (F.col("label") == F.col("major")).alias("y_major"))
     meet = minor.join(other, "token").where(
         (F.col("x_label") != F.col("y_label")) & (F.col("y_major") | (F.col("x_key") < F.col("y_key")))
-        & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
-        & _bound(F.col("x_pos"), F.col("y_pos"), F.col("x_n"), F.col("y_n"), threshold))
-    met = meet.groupBy(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), (F.col("x_n") + F.col("y_n")).alias("both"),
-                       F.greatest("x_n", "y_n").alias("longer")).agg(F.count(F.lit(1)).alias("shared"))
-    # Of the two, the set whose prefix ends first shares its prefix tokens here or not at all;
-    # what else it can share lies behind its prefix.
-    pairs = met.where(100 * F.col("both") * threshold / (100 + threshold) <= 100 * (
-        F.col("shared") + F.ceil(F.col("longer") * threshold / 100) - 1)).select("a", "b")
+        & _may_meet(threshold))
+    met = meet.groupBy(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), _needed(threshold).alias("needed")).agg(
+        F.count(F.lit(1)).alias("shared"))
+    pairs = met.where(F.col("shared") >= F.least("needed", F.lit(FIRST_SHARED))).select("a", "b")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     late = materialize(_verified(late, reps, docs, size, threshold), "links")
