@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.llm import (
-    decontaminate, mixing, ngram_join, pii_boost, quality_rules, sentence_spans, suffix_dedup, toxicity, url_rules, warc_zip,
+    chunk_recipes, decontaminate, merkle, mixing, ngram_join, periodic_runs, pii_boost, quality_rules, sentence_spans, suffix_dedup,
+    toxicity, url_rules, warc_zip,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +74,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        quality_rules.rejected("base").alias("base_failed"), (~quality_rules.rejected("v1")).alias("kept"), "fail_bits")
 
 
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.mark(table(spark, sf_dir, "documents"))
+
+
+def id_checksum() -> Column:
+    """The unsigned CRC-32 of the decimal doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Exact also at the largest number of characters.
+    one_more = F.col("n_chars").cast("decimal(20, 0)") + F.when(id_checksum() % 7 == 0, 1).otherwise(0).cast("decimal(20, 0)")
+    book = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                           {"n_chars": one_more})
+    proof = F.sha2(F.lower(F.hex("proof")), 256)
+    return merkle.proofs(spark, book, "doc_id").select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every tenth text repeats itself from some word on.
+    echo = F.when(id_checksum() % 10 == 0, F.floor(id_checksum() / 10))
+    found = periodic_runs.find(table(spark, sf_dir, "documents"), echo=echo).withColumn("best", periodic_runs.strongest())
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        milli.alias("exponent_milli"), F.sha2(periodic_runs.listing(), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_decontaminate, op3_url_rules, op4_pii_boost, op5_ngram_join, op6_mixing, op7_warc_zip, op8_sentence_spans,
-    op9_toxicity, op10_quality_rules)}
+    op9_toxicity, op10_quality_rules, op11_chunk_recipes, op12_merkle_manifest, op13_periodic_runs)}
 
 SQL: dict[str, str] = {}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,3 +157,98 @@ def op10(rows):
         failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
         out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(again), failed))
     return out
+
+
+def op11(rows):
+    """Groups by the normalised text itself."""
+    white = re.compile(r"[\x20\x09-\x0D]+")
+    norm = [white.sub(" ", t or "") for _, t in rows]
+    groups = defaultdict(list)
+    for (i, _), t in zip(rows, norm):
+        groups[t].append(i)
+    out, seen = [], set()
+    for (i, _), t in zip(rows, norm):
+        ids = [k for k in groups[t] if k is not None]
+        keep = min(ids) if ids else None
+        first = i == keep and (t, i) not in seen
+        seen.add((t, i))
+        out.append((i, keep, len(groups[t]), first, sha(t)))
+    return out
+
+
+def op12(rows):
+    """rows: (doc_id, source, lang, n_chars, text); the whole tree in memory."""
+    def digest(values):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    def levels(leaves):
+        out = [leaves]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][k:k + 2])) for k in range(0, len(out[-1]), 2)])
+        return out
+
+    def way(built, k):
+        out = []
+        for level in built[:-1]:
+            out.append((level[k ^ 1] if k ^ 1 < len(level) else None, k & 1))
+            k >>= 1
+        return out
+
+    trees = defaultdict(list)
+    for r in rows:
+        i, source, lang, n_chars, text = r
+        odd = i is not None and zlib.crc32(str(i).encode()) % 7 == 0 and n_chars is not None
+        trees[lang].append((i, digest(r), digest((i, source, lang, n_chars + 1, text)) if odd else digest(r)))
+    names = sorted(trees, key=lambda k: (k is not None, (k or "").encode()))
+    built = {}
+    for name in names:
+        trees[name].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        built[name] = levels([x[1] for x in trees[name]])
+    top = levels([built[name][-1][0] for name in names]) if names else [[None]]
+    out = []
+    for at, name in enumerate(names):
+        for k, (i, leaf, other) in enumerate(trees[name]):
+            path = way(built[name], k) + way(top, at)
+            h = other
+            for sibling, right in path:
+                h = sha(h if sibling is None else sibling + h if right else h + sibling)
+            proof = sha("".join(s for s, _ in path if s is not None))
+            out.append((i, leaf, built[name][-1][0], top[-1][0], proof, h, h == top[-1][0]))
+    return out
+
+
+def op13(rows):
+    """Every period of every stretch, by comparing words q apart."""
+    out = []
+    for i, text in rows:
+        w = SPACED.findall(text or "")
+        n = len(w)
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = w[:a] + [w[a + k % p] for k in range(n - a)]
+        found = {}
+        for q in range(1, n // 4 + 1):
+            at = 0
+            while at + q < n:
+                if w[at] != w[at + q]:
+                    at += 1
+                    continue
+                end = at
+                while end + q < n and w[end] == w[end + q]:
+                    end += 1
+                if end + q - at >= max(6, 4 * q):
+                    found.setdefault((at, end + q - at), q)  # the smallest period comes first
+                at = end + 1
+        listed = sorted((s, m, q) for (s, m), q in found.items())
+        listed.sort(key=lambda r: (r[0], r[2]))
+        gone = set()
+        for s, m, q in listed:
+            gone.update(range(s + q, s + m))
+        best = min(listed, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if listed else (None, None, None)
+        milli = 1000 * best[1] // best[2] if listed else None
+        out.append((i, len(listed), *best, milli, sha("".join(f"{s},{m},{q}\n" for s, m, q in listed)),
+                    sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
