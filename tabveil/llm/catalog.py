@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.llm import (
-    chunk_recipes, decontaminate, merkle, mixing, ngram_join, periodic_runs, pii_boost, quality_rules, sentence_spans, suffix_dedup,
+    chunk_recipes, decontaminate, merkle, mixing, ngram_join, periodic_runs, pii_boost, quality_rules, sentence_spans, statements, suffix_dedup,
     toxicity, url_rules, warc_zip,
 )
 
@@ -106,4 +106,4 @@ QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_decontaminate, op3_url_rules, op4_pii_boost, op5_ngram_join, op6_mixing, op7_warc_zip, op8_sentence_spans,
     op9_toxicity, op10_quality_rules, op11_chunk_recipes, op12_merkle_manifest, op13_periodic_runs)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = statements.SQL
