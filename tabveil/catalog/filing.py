@@ -10,6 +10,7 @@ from tabveil.catalog.registry import query, r6
 from tabveil.operators import risk
 from tabveil.session import scratch_path
 from tabveil.sources import readers, sinks
+from tabveil.sources.commits import CommittedTable, EpsilonStore
 
 KEPT = ["SQ_CANDIDATO", "DS_GRAU_INSTRUCAO", "DS_SIT_TOT_TURNO", "SG_UF_NASCIMENTO", "VR_BENS"]
 
@@ -108,3 +109,33 @@ def audit_json(spark, sf_dir):
     back = spark.read.schema(summary.schema).json(path)
     lines = back.select("inference_avg_risk", F.explode("details").alias("secret", "entry"))
     return lines.select(r6("inference_avg_risk").alias("inference_avg_risk"), "secret", "entry.risk", "entry.label")
+
+
+@query("committed_family", " UNION ALL ".join(
+    f"SELECT CAST({e} AS DOUBLE) AS epsilon, o_orderstatus, count(*) AS n FROM orders WHERE {rule} GROUP BY 2"
+    for e, rule in FAMILY.items()
+))
+def committed_family(spark, sf_dir):
+    """Copies by ε, one of which was cut off before its commit and is made again."""
+    store = EpsilonStore(spark, scratch_path(spark, "store"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    cut_off = next(iter(FAMILY))
+    for epsilon, rule in FAMILY.items():
+        if epsilon == cut_off:
+            orders.filter(rule).limit(10).write.parquet(f"{store.folder}/data/step=cut-off")
+        else:
+            store.write(orders.filter(rule), epsilon)
+    for epsilon in store.missing(list(FAMILY)):
+        store.write(orders.filter(FAMILY[epsilon]), epsilon)
+    return store.copies().groupBy("epsilon", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("append_once", "SELECT o_orderstatus AS run, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 1")
+def append_once(spark, sf_dir):
+    """Runs appended twice each under their names stand in the table once."""
+    log = CommittedTable(spark, scratch_path(spark, "runs"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    names = [r["o_orderstatus"] for r in orders.select("o_orderstatus").distinct().collect()]  # three states
+    for name in [*names, *names]:
+        log.append(orders.filter(F.col("o_orderstatus") == name), name)
+    return log.read(name="run").groupBy("run").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))

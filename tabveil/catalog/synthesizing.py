@@ -7,10 +7,13 @@ import math
 
 from pyspark.sql import functions as F
 
-from tabveil.catalog.fixtures import CANDIDATES_SQL, candidates
+from tabveil.catalog.fixtures import CANDIDATES_SQL, candidates, table
 from tabveil.catalog.registry import query, r6, rounded
 from tabveil.functions.hashing import row_uniform
-from tabveil.operators import noise, synthesis, utility
+from tabveil.operators import adaptive, noise, sparse_noise, synthesis, utility
+from tabveil.operators.budget import Ledger
+from tabveil.operators.domains import declared_domain
+from tabveil.session import materialize, scratch_path
 
 COLUMNS = ["SG_UF", "CD_GENERO", "CD_CARGO", "CD_COR_RACA"]
 PAIRS = [("SG_UF", "CD_GENERO"), ("CD_GENERO", "CD_CARGO"), ("CD_CARGO", "CD_COR_RACA")]
@@ -123,8 +126,8 @@ ORDER = [("SG_UF", None), ("CD_GENERO", "SG_UF"), ("CD_CARGO", "CD_GENERO"), ("C
 
 @query("conditional_tables", f"WITH {CONDITIONAL_SQL} SELECT \"column\", parent_code, code, round(p, 6) + 0.0 AS p FROM model")
 def conditional_tables(spark, sf_dir):
-    _, _, one, two = _noisy(spark, sf_dir)
-    return rounded(synthesis.conditional_shares(one, two, ORDER), "p")
+    domain, _, one, two = _noisy(spark, sf_dir)
+    return rounded(synthesis.full_tables(synthesis.model_table(one, two, ORDER, domain), ORDER, domain), "p")
 
 
 def _draw_sql() -> str:
@@ -150,11 +153,9 @@ SELECT row_id, {", ".join(f"o_{c}.value_a AS {c}" for c in COLUMNS)} FROM step{l
 {" ".join(f"JOIN one o_{c} ON o_{c}.a = '{c}' AND o_{c}.code_a = c_{c}" for c in COLUMNS)}""")
 def synthesize_fixed_tree(spark, sf_dir):
     """As many rows as candidates, drawn along a given tree with digest draws."""
-    from tabveil.session import materialize
-
     domain, exact, one, two = _noisy(spark, sf_dir)
-    model = synthesis.intervals(synthesis.conditional_shares(one, two, ORDER))
-    model = synthesis.SynthModel(domain, ORDER, materialize(model, "model"), exact.n, EPSILON, DELTA, private=False)
+    table = materialize(synthesis.model_table(one, two, ORDER, domain), "model")
+    model = synthesis.SynthModel(domain, ORDER, table, exact.n, EPSILON, DELTA, private=False)
     return synthesis.generate(model, seed=5, uniform=lambda column, salt: row_uniform([column], salt))
 
 
@@ -184,3 +185,78 @@ def epsilon_sweep(spark, sf_dir):
         row = utility.marginal_utility(rows, copy, COLUMNS).select(F.lit(epsilon).alias("epsilon"), r6("utility").alias("utility"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# --- a pair of columns with five million cells --------------------------------
+PLACES = [str(100 * nation + town) for nation in range(25) for town in range(40)]
+WIDE = {"SG_UE": PLACES, "LOCAL": [f"{p}/{k}" for p in PLACES for k in range(1, 6)]}
+WIDE_SCALE = 0.4
+WIDE_FRAME = sparse_noise.frame("SG_UE", "LOCAL", len(WIDE["SG_UE"]) * len(WIDE["LOCAL"]), WIDE_SCALE, passing=2_000)
+WIDTH = len(WIDE_FRAME.steps)
+
+
+def _draw(k: str) -> str:
+    """SQL of the k-th uniform number of a stretch."""
+    digest = f"md5('SG_UE|LOCAL|' || CAST(chunk AS VARCHAR) || '|' || CAST({k} AS VARCHAR) || '|{SEED}-empty')"
+    return f"((CAST(('0x' || substr({digest}, 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0)"
+
+
+STEPS = "[" + ", ".join(f"{x!r}::DOUBLE" for x in WIDE_FRAME.steps) + "]"
+STRETCH = WIDE_FRAME.stretch
+
+
+def _taken(j: str) -> str:
+    place = f"CAST(floor({_draw('k + 1')} * ({j} + 1)) AS BIGINT)"
+    return f"CASE WHEN list_contains(places, {place}) THEN {j} ELSE {place} END"
+
+
+@query("marginals_wide_pair", f"""WITH RECURSIVE {CANDIDATES_SQL},
+coded AS (SELECT SG_UE // 100 * 40 + SG_UE % 100 AS x, CD_ESTADO_CIVIL - 1 AS y FROM cand),
+seen AS (SELECT 'SG_UE' AS a, 'LOCAL' AS b, x * {len(WIDE["LOCAL"])} + x * 5 + y AS cell, count(*) AS n FROM coded GROUP BY ALL),
+noised AS (SELECT cell, n, n + {WIDE_SCALE} * {normal_sql(["a", "b", "cell"])} AS m FROM seen),
+chunks AS (SELECT unnest(range({WIDE_FRAME.stretches})) AS chunk),
+numbered AS (SELECT chunk, len(list_filter({STEPS}, lambda x: x <= u)) AS number FROM (SELECT chunk, {_draw('0')} AS u FROM chunks)),
+floyd AS (SELECT chunk, number, 0 AS k, CAST([] AS BIGINT[]) AS places FROM numbered
+  UNION ALL SELECT chunk, number, k + 1, list_append(places, {_taken(f'({STRETCH} - number + k)')}) FROM floyd WHERE k < number),
+valued AS (SELECT chunk * {STRETCH} + places[k] AS cell, {WIDE_FRAME.share!r} * {_draw(f'{WIDTH} + k')} AS u
+           FROM (SELECT chunk, places, unnest(range(1, number + 1)) AS k FROM floyd WHERE k = number)),
+kept AS (SELECT cell, n, m FROM noised WHERE m >= {WIDE_FRAME.threshold!r}
+  UNION ALL SELECT cell, 0, -{WIDE_SCALE}e0 * {sparse_noise.normal_quantile('u')} FROM valued
+  WHERE cell < {WIDE_FRAME.cells} AND cell NOT IN (SELECT cell FROM seen))
+SELECT CAST(cell // {len(WIDE["LOCAL"])} AS INTEGER) AS code_a, CAST(cell % {len(WIDE["LOCAL"])} AS INTEGER) AS code_b, n, round(m, 6) + 0.0 AS m FROM kept""")
+def marginals_wide_pair(spark, sf_dir):
+    """Noisy cells of a pair with five million cells: the seen ones and the empty ones that pass."""
+    rows = candidates(spark, sf_dir, "SG_UE", "CD_ESTADO_CIVIL").select(
+        F.col("SG_UE").cast("string").alias("SG_UE"), F.concat_ws("/", "SG_UE", "CD_ESTADO_CIVIL").alias("LOCAL"))
+    domain = declared_domain(spark, WIDE)
+    exact = synthesis.exact_marginals(rows, domain)
+    pair = [("SG_UE", "LOCAL")]
+    seen = synthesis.numbered_cells(exact.cells, domain, pair)
+    noisy = sparse_noise.noisy_cells(seen, [WIDE_FRAME], WIDE_SCALE, SEED).join(seen, ["a", "b", "cell"], "left")
+    k = len(WIDE["LOCAL"])
+    return noisy.select(F.expr(f"cast(cell div {k} AS int)").alias("code_a"), (F.col("cell") % k).cast("int").alias("code_b"),
+                        F.coalesce("n", F.lit(0)).alias("n"), r6("m").alias("m"))
+
+
+@query("synthesize_adaptive")
+def synthesize_adaptive(spark, sf_dir):
+    """A copy from a fit in rounds under the operating system's randomness."""
+    rows = _table(spark, sf_dir)
+    model, _ = adaptive.fit_adaptive(rows, synthesis.observed_domain(rows, COLUMNS), epsilon=EPSILON, delta=DELTA)
+    return synthesis.generate(model)
+
+
+RHO_SQL = f"power(sqrt({math.log(1 / DELTA)!r} + r_regionkey + 1) - sqrt({math.log(1 / DELTA)!r}), 2)"
+
+
+@query("budget_ledger", f"""WITH costs AS (SELECT CAST(r_regionkey AS BIGINT) AS number, r_name AS release, {RHO_SQL} AS rho FROM region),
+upto AS (SELECT *, sum(rho) OVER (ORDER BY number) AS spent FROM costs)
+SELECT number, release, round(rho, 9) AS rho, round(spent, 9) AS rho_spent,
+       round(spent + 2 * sqrt(spent * {math.log(1 / DELTA)!r}), 6) AS epsilon_spent FROM upto""")
+def budget_ledger(spark, sf_dir):
+    """One release per region, each with its own ε, added up."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), epsilon=50.0, delta=DELTA)
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        ledger.spend(r["r_name"], noise.zcdp_budget(r["r_regionkey"] + 1, DELTA))
+    return ledger.releases().select("number", "release", F.round("rho", 9).alias("rho"), F.round("rho_spent", 9).alias("rho_spent"),
+                                    F.round("epsilon_spent", 6).alias("epsilon_spent"))

@@ -85,7 +85,7 @@ def audit(original: DataFrame, synthetic: DataFrame, roles: Roles, syn_id: str,
 def anonymize(df: DataFrame, roles: Roles, epsilon: float = 1.0, delta: float = 1e-6,
               profile: str | Strategy = "high_fidelity", domain: Mapping[str, Sequence[str]] | None = None,
               max_rows: int | None = None, detect_pii: bool = True, n_attacks: int | None = 500,
-              sample_size: int | None = None, max_cells: int = synthesis.MAX_CELLS, seed: int = 42,
+              sample_size: int | None = None, seed: int = 42,
               noise_seed: int | None = None) -> Result:
     """One private copy of a table with utility and risks.
 
@@ -95,7 +95,7 @@ def anonymize(df: DataFrame, roles: Roles, epsilon: float = 1.0, delta: float =
     prepared = prepare(df, roles, profile, max_rows=max_rows, detect_pii=detect_pii, seed=seed)
     rows = prepared.table.select(*prepared.columns)
     model = synthesis.fit(
-        rows, domain or synthesis.observed_domain(rows, prepared.columns), epsilon, delta, max_cells, noise_seed
+        rows, domain or synthesis.observed_domain(rows, prepared.columns), epsilon, delta, noise_seed
     )
     started = time.perf_counter()
     synthetic = materialize(synthesis.generate(model, seed=seed), "synthetic")

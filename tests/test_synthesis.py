@@ -22,7 +22,7 @@ def table(spark):
 
 @pytest.fixture(scope="module")
 def domain(table):
-    found = synthesis.observed_domain(table, COLUMNS)
+    found = {c: sorted(r[c] for r in table.select(c).distinct().collect()) for c in COLUMNS}
     found["c"] = [*found["c"], "c_never_seen"]
     return found
 
@@ -58,17 +58,17 @@ def test_exponential_mechanism_prefers_high_scores():
 def test_marginals_include_empty_cells(spark, table, domain):
     exact = synthesis.exact_marginals(table, domain)
     assert exact.n == 3000
-    one = synthesis.one_way(exact.cells, domain).collect()
+    one = synthesis.one_way(exact.cells, exact.domain).collect()
     assert len(one) == sum(map(len, domain.values()))
     assert {r.n for r in one if r.a == "c" and r.code_a == len(domain["c"]) - 1} == {0.0}
-    two = synthesis.two_way(exact.cells, domain, [("a", "c")]).collect()
+    two = synthesis.two_way(exact.cells, exact.domain, [("a", "c")]).collect()
     assert len(two) == len(domain["a"]) * len(domain["c"])
     assert sum(r.n for r in two) == 3000
 
 
 def test_pair_scores_by_hand(spark, table, domain):
     exact = synthesis.exact_marginals(table, domain)
-    margins = synthesis.one_way(exact.cells, domain).withColumnRenamed("n", "m")
+    margins = synthesis.one_way(exact.cells, exact.domain).withColumnRenamed("n", "m")
     got = {(r.a, r.b): r.score for r in synthesis.pair_scores(exact.cells, margins, exact.pairs, exact.n).collect()}
     rows = table.collect()
     for a, b in exact.pairs:
@@ -81,14 +81,11 @@ def test_pair_scores_by_hand(spark, table, domain):
     assert max(got, key=got.get) == ("a", "b")
 
 
-def test_tree_spans_and_skips_wide_pairs(spark, table, domain):
+def test_tree_spans(spark):
     edges = synthesis.spanning_tree([("a", "b", 9.0), ("a", "c", 1.0), ("b", "c", 1.0)], COLUMNS, 1e6, random.Random(1))
     assert len(edges) == 2 and ("a", "b") in edges
     order = synthesis.rooted(COLUMNS, edges)
     assert [c for c, _ in order][0] == "a" and {c for c, _ in order} == set(COLUMNS)
-    model = synthesis.fit(table, domain, epsilon=50.0, max_cells=16)
-    assert synthesis.modelled_pairs(domain, 16) == [("a", "c")] and ("b", None) in model.order
-    assert synthesis.generate(model, 500).count() == 500
 
 
 def test_rows_and_values_stay_in_the_domain(spark, table, domain):
@@ -135,12 +132,6 @@ def test_error_falls_with_epsilon(spark, table, domain):
     assert scores[0.01] < scores[1.0] < scores[100.0] and scores[100.0] > 0.9
 
 
-def test_wide_columns_are_refused(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("a"))
-    with pytest.raises(ValueError):
-        synthesis.observed_domain(df, ["a"], max_values=50)
-
-
 def test_sweep_stacks_copies(spark, table, domain):
     sweep = synthesis.epsilon_sweep(table, domain, [0.1, 10.0], n=200)
     assert {(r["epsilon"], r["count"]) for r in sweep.groupBy("epsilon").count().collect()} == {(0.1, 200), (10.0, 200)}
