@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tabveil.catalog.fixtures import HALVES_SQL, table, two_populations
 from tabveil.catalog.registry import query, r6, rounded
 from tabveil.functions import scores
-from tabveil.operators import risk
+from tabveil.operators import mixed, risk
 from tabveil.operators.clean import all_text
 from tabveil.operators.neighbours import nearest, nearest_k
+from tabveil.session import scratch_path
+from tabveil.sources.commits import EpsilonStore
 
 ID = "SQ_CANDIDATO"
 AUX = ["SG_UF", "SG_PARTIDO", "CD_GENERO", "CD_CARGO"]
@@ -287,3 +289,80 @@ SELECT *, {BAND.replace('r <', 'risk <')} AS band,
 def three_axis_audit(spark, sf_dir):
     original, observed = two_populations(spark, sf_dir, *SINGLED, "CD_COR_RACA")
     return _risks(risk.three_axis_audit(original, observed, SINGLED, AUX, AUX_A, AUX_B, "CD_COR_RACA", ID, ID))
+
+
+THIRTEEN = ["SG_UF", "NM_UE", "CD_CARGO", "NR_PARTIDO", "SG_PARTIDO", "CD_GENERO", "CD_GRAU_INSTRUCAO", "CD_ESTADO_CIVIL", "CD_COR_RACA",
+            "CD_OCUPACAO", "DT_NASCIMENTO", "DS_SITUACAO_CANDIDATURA", "DS_SIT_TOT_TURNO"]
+
+
+@query("nearest_by_levels", f"""WITH {HALVES_SQL}, {nearest_sql("nn", THIRTEEN)}
+SELECT {", ".join(THIRTEEN)}, distance, neighbour FROM nn""")
+def nearest_by_levels(spark, sf_dir):
+    """Nearest rows over thirteen columns, best sets first."""
+    original, observed = two_populations(spark, sf_dir, *THIRTEEN)
+    return nearest(all_text(original, THIRTEEN), all_text(observed, THIRTEEN), THIRTEEN, ID)
+
+
+FAMILY_EPSILONS = [50.0, 35.0, 20.0, 10.0, 1.0, 0.1, 0.001]
+STORED = FAMILY_EPSILONS[:-1]
+
+
+def _copy_number(e: float) -> int:
+    return STORED.index(e)
+
+
+def _family_sql() -> str:
+    """Copy k holds the observed rows whose key leaves another remainder than k."""
+    parts, counts = [], []
+    for e in STORED:
+        k = _copy_number(e)
+        s = f"syn{k}"
+        parts.append(f"{s} AS (SELECT * FROM syn WHERE {ID} % {len(STORED)} <> {k})")
+        for name, columns, payload in ((f"na{k}", AUX_A, []), (f"nb{k}", AUX_B, []), (f"nn{k}", AUX, ["CD_COR_RACA"])):
+            parts.append(nearest_sql(name, columns, payload).replace("FROM syn ", f"FROM {s} "))
+        parts.append(f"guess{k} AS (SELECT hits FROM (SELECT set_no, value, count(*) FILTER (side = 0) AS hits, count(*) FILTER (side = 1) AS k "
+                     f"FROM ({sets_sql(SINGLED).replace('FROM syn', f'FROM {s}')}) GROUP BY 1, 2) WHERE k = 1)")
+        counts += [
+            f"SELECT {e}e0 AS epsilon, 'Singling Out' AS attack, count(*) AS n, count(*) FILTER (hits = 1) AS successes FROM guess{k}",
+            f"SELECT {e}e0, 'Linkability', count(*), count(*) FILTER (na{k}.neighbour = nb{k}.neighbour) FROM ori {joined_sql(f'na{k}', AUX_A)} {joined_sql(f'nb{k}', AUX_B)}",
+            f"SELECT {e}e0, 'Inference', count(*), count(*) FILTER ({text_sql('ori.CD_COR_RACA')} = nn{k}.CD_COR_RACA_p) FROM ori {joined_sql(f'nn{k}', AUX)}",
+        ]
+    return ",\n".join(parts) + ", counts AS (" + " UNION ALL ".join(counts) + ")"
+
+
+@query("family_audit", f"""WITH {HALVES_SQL}, {_family_sql()},
+wanted AS (SELECT CAST(e AS DOUBLE) AS epsilon, attack FROM (VALUES {", ".join(f"({e})" for e in FAMILY_EPSILONS)}) v(e),
+           (VALUES ('Singling Out'), ('Linkability'), ('Inference')) w(attack))
+SELECT epsilon, attack, n, successes, CASE WHEN n > 0 THEN risk END AS risk, CASE WHEN n > 0 THEN ci_low END AS ci_low,
+       CASE WHEN n > 0 THEN ci_high END AS ci_high, CASE WHEN n IS NULL THEN 'missing' ELSE 'ok' END AS status
+FROM wanted LEFT JOIN (SELECT epsilon, attack, n, successes, {wilson_sql()} FROM counts) c USING (epsilon, attack)""")
+def family_audit(spark, sf_dir):
+    """Six stored copies of seven wanted ε, attacked in one plan."""
+    used = list(dict.fromkeys([*SINGLED, *AUX, "CD_COR_RACA"]))
+    original, observed = two_populations(spark, sf_dir, *used)
+    store = EpsilonStore(spark, scratch_path(spark, "family"))
+    for e in STORED:
+        store.write(observed.filter(F.col(ID) % len(STORED) != _copy_number(e)), e)
+    audit = risk.audit_store(original, store, FAMILY_EPSILONS, SINGLED, AUX, AUX_A, AUX_B, "CD_COR_RACA", ID)
+    return _risks(audit).select("epsilon", "attack", "n", "successes", "risk", "ci_low", "ci_high", "status")
+
+
+MIXED_TEXT, MIXED_NUMBERS = ["SG_UF", "CD_CARGO"], ["VR_BENS", "NR_PARTIDO"]
+MIXED_GAP = " + ".join([f"(CASE WHEN t.{c} = s.{c} THEN 0e0 ELSE 1e0 END)" for c in MIXED_TEXT]
+                       + [f"least(abs(CAST(t.{c} AS DOUBLE) - CAST(s.{c} AS DOUBLE)) / e.e_{c}, 1e0)" for c in MIXED_NUMBERS])
+
+
+@query("nearest_mixed", f"""WITH {HALVES_SQL}, chosen AS (SELECT * FROM ori WHERE {ID} % 50 = 0),
+e AS (SELECT {", ".join(f"CAST(max({c}) - min({c}) AS DOUBLE) AS e_{c}" for c in MIXED_NUMBERS)} FROM cand),
+pairs AS (SELECT {", ".join(f"t.{c}" for c in [*MIXED_TEXT, *MIXED_NUMBERS])}, {MIXED_GAP} AS distance, s.{ID} AS neighbour FROM chosen t, syn s, e)
+SELECT {", ".join(MIXED_TEXT)}, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MIXED_NUMBERS)},
+       round(min(distance), 9) + 0.0 AS distance, arg_min(neighbour, (distance, neighbour)) AS neighbour
+FROM pairs GROUP BY {", ".join([*MIXED_TEXT, *MIXED_NUMBERS])}""")
+def nearest_mixed(spark, sf_dir):
+    """Nearest rows by two texts and two numbers, for every row whose id is divisible by 50, against all observed rows."""
+    used = [*MIXED_TEXT, *MIXED_NUMBERS]
+    original, observed = two_populations(spark, sf_dir, *used)
+    ranges = mixed.column_ranges([original, observed], MIXED_NUMBERS)
+    some = original.filter(F.col(ID) % 50 == 0)
+    found = mixed.nearest_mixed(all_text(some, MIXED_TEXT), all_text(observed, MIXED_TEXT), MIXED_TEXT, MIXED_NUMBERS, ID, ranges)
+    return found.withColumn("distance", F.round("distance", 9) + F.lit(0.0))

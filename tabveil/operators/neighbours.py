@@ -3,8 +3,16 @@
 The distance of two rows is the number of columns on which they differ. Two rows
 at distance d agree on a set of m - d columns, so the nearest rows are the
 partners on the largest set of columns for which there is any partner. Both
-sides collapse to distinct value combinations, are keyed once per column set
-(2^m sets of m columns) and meet in one hash join. No pair of rows is compared.
+sides collapse to distinct value combinations. No pair of rows is compared.
+
+For few columns both sides are keyed once per column set (2^m sets) and meet in
+one hash join. For more, sets are searched best first, from the full set down:
+exact partners, then sets that leave out one column, and so on, where only targets
+without a partner and rows that may be one go on. The work of a level is the
+number of its sets, so it is small where rows lie close and grows with distance.
+
+``by`` names columns that must agree in any case, such as the ε of a family of
+copies; they are part of every key.
 """
 
 from __future__ import annotations
@@ -15,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_COLUMNS = 16
+from tabveil.session import materialize
+
+ONE_PASS_COLUMNS = 7  # up to so many columns all sets are keyed at once
 
 
 def _keyed(df: DataFrame, columns: Sequence[str], first: int = 0) -> DataFrame:
     """One row per column set: its mask, and the values of the set's columns."""
     m = len(columns)
-    if not 1 <= m <= MAX_COLUMNS:
-        raise ValueError(f"nearest neighbours need 1 to {MAX_COLUMNS} columns")
     sets = df.withColumn("mask", F.explode(F.sequence(F.lit(first), F.lit(2**m - 1))))
     inside = {
         f"k{i}": F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise("") for i, c in enumerate(columns)
@@ -34,40 +42,120 @@ def _distance(m: int) -> Column:
     return (F.lit(m) - F.bit_count("mask")).cast("int")
 
 
+def _in_one_pass(targets: DataFrame, combos: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """by, columns, distance, neighbour of all targets that agree with a row in any column."""
+    m = len(columns)
+    keys = [*by, "mask", *[f"k{i}" for i in range(m)]]
+    index = _keyed(combos, columns, first=1).groupBy(*keys).agg(F.min("neighbour").alias("neighbour"))
+    wanted = _keyed(targets, columns, first=1)
+    at = [F.min(F.when(_distance(m) == d, F.col("neighbour"))).alias(f"__at_{d}") for d in range(m)]
+    met = wanted.join(index, keys, "left").groupBy(*by, *columns).agg(*at)
+    levels = [F.col(f"__at_{d}") for d in range(m)]
+    distance = F.when(F.lit(False), F.lit(None).cast("int"))
+    for d, level in enumerate(levels):
+        distance = distance.when(level.isNotNull(), d)
+    return met.select(*by, *columns, distance.alias("distance"), F.coalesce(*levels).alias("neighbour")).filter("neighbour IS NOT NULL")
+
+
+def _hashed(df: DataFrame, columns: Sequence[str], salt: int, bits: int) -> DataFrame:
+    """Add ``h``, a number per column and value, and ``key``, the exclusive or of all."""
+    each = [F.xxhash64(F.lit(salt), F.lit(i), F.col(c)) for i, c in enumerate(columns)]
+    if bits < 64:
+        each = [e.bitwiseAND(F.lit((1 << bits) - 1)) for e in each]
+    return df.withColumn("h", F.array(*each)).withColumn("key", _xor(F.col("h")))
+
+
+def _xor(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _without(df: DataFrame, m: int, d: int) -> DataFrame:
+    """One row per way of leaving d columns out, under the key of the others."""
+    out = df.withColumn("i", F.lit(-1))
+    for step in range(d):
+        out = out.withColumn("i", F.explode(F.sequence(F.col("i") + 1, F.lit(m - d + step))))
+        out = out.withColumn("key", F.col("key").bitwiseXOR(F.col("h")[F.col("i")]))
+    return out.drop("i", "h")
+
+
+def _in_groups(df: DataFrame, m: int, d: int) -> DataFrame:
+    """One row per group of columns, under the group's key, for d + 1 groups."""
+    groups = [_xor(F.array(*[F.col("h")[i] for i in range(g, m, d + 1)])) for g in range(d + 1)]
+    return df.withColumn("key", F.explode(F.array(*groups))).drop("h")
+
+
+def _by_levels(targets: DataFrame, combos: DataFrame, columns: Sequence[str], by: Sequence[str], bits: int = 64) -> DataFrame:
+    """As ``_in_one_pass``, level by level: at level d all ways of leaving out d
+    columns are looked up, for targets that have no partner yet and rows that agree
+    with one of them on one of d + 1 groups of columns (of which any partner has to
+    agree on one).
+
+    A set of columns and its values are one 64-bit number, so a level moves narrow
+    rows. Equal values have equal numbers; whether a partner really agrees is
+    checked afterwards, and a target that met a false one looks again under other
+    numbers.
+    """
+    m, names = len(columns), [*by, *columns]
+    combos = materialize(combos.select(*names, "neighbour"), "combinations")
+    waiting = materialize(targets.select(*names, F.monotonically_increasing_id().alias("target")), "targets")
+    theirs = combos.select("neighbour", *by, F.array(*columns).alias("__theirs"))
+    found, d, salt = None, 0, 0
+    while d < m:
+        rows = _hashed(combos, columns, salt, bits).select(*by, "neighbour", "h", "key")
+        wanted = _hashed(waiting, columns, salt, bits).select(*by, "target", "h", "key")
+        if d:
+            near = _in_groups(rows, m, d).join(_in_groups(wanted, m, d).select(*by, "key").distinct().hint("merge"), [*by, "key"], "left_semi")
+            rows = rows.join(near.select(*by, "neighbour").distinct(), [*by, "neighbour"], "left_semi")
+        index = _without(rows, m, d).groupBy(*by, "key").agg(F.min("neighbour").alias("neighbour"))
+        # The planner does not see how many rows leaving out columns makes: no broadcast.
+        met = _without(wanted, m, d).join(index.hint("merge"), [*by, "key"]).groupBy("target").agg(F.min("neighbour").alias("neighbour"))
+        gap = F.size(F.filter(F.zip_with(F.array(*columns), "__theirs", lambda x, y: x != y), lambda differs: differs))
+        seen = waiting.join(met, "target").join(theirs, [*by, "neighbour"]).select(*names, "target", "neighbour", gap.alias("distance"))
+        seen = materialize(seen, "met")
+        good = seen.filter(F.col("distance") == d)
+        found = good if found is None else found.unionByName(good)
+        counts = seen.agg(F.count_if(F.col("distance") == d).alias("good"), F.count_if(F.col("distance") != d).alias("false")).first()
+        waiting = materialize(waiting.join(good.select("target"), "target", "left_anti"), "waiting") if counts["good"] else waiting
+        if counts["false"]:
+            salt += 1
+        else:
+            d += 1
+        if counts["good"] and not waiting.limit(1).count():
+            break
+    return found.select(*names, "distance", "neighbour")
+
+
 def nearest(targets: DataFrame, table: DataFrame, columns: Sequence[str], row_id: str,
-            payload: Sequence[str] = ()) -> DataFrame:
+            payload: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """The nearest row of ``table`` for every distinct combination in ``targets``.
 
-    Result: ``columns``, ``distance``, ``neighbour`` (its id) and the payload.
-    Equal distances go to the smallest id. The columns must be text without
-    nulls (see ``as_text``). The empty column set, which every row would share,
-    is no join key: a target that agrees with no row in any column gets the
-    smallest id of all.
+    Result: ``by``, ``columns``, ``distance``, ``neighbour`` (its id) and the
+    payload. Equal distances go to the smallest id. The columns must be text
+    without nulls (see ``as_text``). A target that agrees with no row in any column
+    gets the smallest id of all; one whose ``by`` has no row gets none.
     """
-    columns, m = list(columns), len(columns)
-    keys = ["mask", *[f"k{i}" for i in range(m)]]
+    columns, by, m = list(columns), list(by), len(columns)
+    if not columns:
+        raise ValueError("nearest neighbours need a column")
     carried = {c: f"__p_{c}" for c in payload}
     # Only the id is ever aggregated, so that all steps are hash aggregations;
     # the payload is a grouping key here and fetched by id at the end.
-    rows = table.select(*columns, *[F.col(c).alias(n) for c, n in carried.items()], F.col(row_id).alias("neighbour"))
-    rows = rows.groupBy(*columns, *carried.values()).agg(F.min("neighbour").alias("neighbour"))
-    combos = rows.groupBy(*columns).agg(F.min("neighbour").alias("neighbour"))
-    index = _keyed(combos, columns, first=1).groupBy(*keys).agg(F.min("neighbour").alias("neighbour"))
-    wanted = _keyed(targets.select(*columns).distinct(), columns, first=1)
-    at = [F.min(F.when(_distance(m) == d, F.col("neighbour"))).alias(f"__at_{d}") for d in range(m)]
-    met = wanted.join(index, keys, "left").groupBy(*columns).agg(*at)
-    met = met.withColumn(f"__at_{m}", combos.agg(F.min("neighbour")).scalar())
-    levels = [F.col(f"__at_{d}") for d in range(m + 1)]
-    distance = F.when(F.lit(False), F.lit(None).cast("int"))
-    for d, level in enumerate(levels):
-        distance = distance.when(level.isNotNull(), d)
-    found = met.select(*columns, distance.alias("distance"), F.coalesce(*levels).alias("neighbour"))
+    rows = table.select(*by, *columns, *[F.col(c).alias(n) for c, n in carried.items()], F.col(row_id).alias("neighbour"))
+    rows = rows.groupBy(*by, *columns, *carried.values()).agg(F.min("neighbour").alias("neighbour"))
+    combos = rows.groupBy(*by, *columns).agg(F.min("neighbour").alias("neighbour"))
+    wanted = targets.select(*by, *columns).distinct()
+    met = (_in_one_pass if m <= ONE_PASS_COLUMNS else _by_levels)(wanted, combos, columns, by)
+    first = combos.groupBy(*by).agg(F.min("neighbour").alias("__first"))
+    # One row, or one per value of ``by``.
+    every = wanted.join(F.broadcast(first), by) if by else wanted.withColumn("__first", first.scalar())
+    found = every.join(met, [*by, *columns], "left").select(
+        *by, *columns, F.coalesce("distance", F.lit(m)).alias("distance"), F.coalesce("neighbour", "__first").alias("neighbour"))
     found = found.filter(F.col("neighbour").isNotNull())
     if not carried:
         return found
-    fetched = found.join(rows.select("neighbour", *carried.values()), "neighbour")
+    fetched = found.join(rows.select(*by, "neighbour", *carried.values()), [*by, "neighbour"])
     return fetched.select(
-        *columns, "distance", "neighbour",
+        *by, *columns, "distance", "neighbour",
         *[F.col(n).alias(c if c not in columns else f"nearest_{c}") for c, n in carried.items()],
     )
 

@@ -20,7 +20,8 @@ from tabveil.operators.clean import all_text
 from tabveil.operators.expand import key_columns, per_set
 from tabveil.operators.neighbours import nearest, nearest_k
 from tabveil.operators.sampling import sample_exact
-from tabveil.session import BROADCAST_ROWS, small_or_same
+from tabveil.session import BROADCAST_ROWS, materialize, small_or_same
+from tabveil.sources.commits import EpsilonStore
 
 SINGLING_OUT, LINKABILITY, INFERENCE = "Singling Out", "Linkability", "Inference"
 CANDIDATES_PER_ATTACK = 4
@@ -303,3 +304,75 @@ def audit_row(risks: DataFrame) -> DataFrame:
     )
     score = privacy_score(F.col("singling_out_risk"), F.col("linkability_risk"), F.col("inference_risk"))
     return wide.withColumn("privacy_score", score)
+
+
+# --- a family of copies ----------------------------------------------------
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def family_audit(original: DataFrame, copies: DataFrame, epsilons: Sequence[float], columns: Sequence[str], aux: Sequence[str],
+                 aux_a: Sequence[str], aux_b: Sequence[str], secret: str, syn_id: str, n_cols: int = 3) -> DataFrame:
+    """The three attacks on all copies of a table at once: epsilon, attack, n,
+    successes, risk, interval, labels and ``status``.
+
+    ``copies`` has the column ``epsilon``. The original is read and counted once;
+    ε is part of every key, so all copies share each join. Every wanted ε has its
+    rows: one without a copy has the status ``missing`` and no counts.
+    """
+    aux, aux_a, aux_b = list(aux), list(aux_a), list(aux_b)
+    used = list(dict.fromkeys([*columns, *aux, *aux_a, *aux_b, secret]))
+    spark = original.sparkSession
+    wanted = spark.createDataFrame([(float(e),) for e in epsilons], "epsilon double")  # one row per copy
+    people = materialize(all_text(original.select(*used)).groupBy(*used).agg(F.count("*").alias("rows")), "people")
+    syn = all_text(copies.select("epsilon", syn_id, *used), used).join(F.broadcast(wanted), "epsilon", "left_semi")
+    there = F.broadcast(materialize(syn.select("epsilon").distinct(), "copies"))  # one row per copy
+
+    def each(combos: DataFrame) -> DataFrame:
+        return combos.withColumn("epsilon", F.explode(_constant_doubles(epsilons))).join(there, "epsilon", "left_semi")
+
+    # Singling out: unique combinations per ε, against counts of the original.
+    sets = column_sets(columns, n_cols)
+    keys = key_columns(sets)
+    unique = per_set(syn, columns, sets, keep=["epsilon"]).groupBy("epsilon", *keys).agg(F.count("*").alias("n_syn")).filter("n_syn = 1")
+    hits = per_set(people, columns, sets, keep=["rows"]).groupBy(*keys).agg(F.sum("rows").alias("hits"))
+    singled = unique.join(hits, keys, "left").groupBy("epsilon").agg(F.count("*").alias("n"), F.count_if(F.col("hits") == 1).alias("successes"))
+    # Linkability and inference: nearest rows within the same ε.
+    total = F.sum("rows").alias("n")
+    linked = each(people.groupBy(*aux_a, *aux_b).agg(F.sum("rows").alias("rows")))
+    for side, part in (("a", aux_a), ("b", aux_b)):
+        near = nearest(each(people.select(*part).distinct()), syn, part, syn_id, by=["epsilon"])
+        linked = linked.join(near.select("epsilon", *part, F.col("neighbour").alias(f"id_{side}")), ["epsilon", *part], "left")
+    same = F.coalesce(F.col("id_a") == F.col("id_b"), F.lit(False))
+    linked = linked.groupBy("epsilon").agg(total, F.sum(F.when(same, F.col("rows")).otherwise(0)).alias("successes"))
+    guess = nearest(each(people.select(*aux).distinct()), syn, aux, syn_id, [secret], by=["epsilon"])
+    guessed = each(people.groupBy(*aux, secret).agg(F.sum("rows").alias("rows"))).join(
+        guess.select("epsilon", *aux, F.col(secret).alias("__guess")), ["epsilon", *aux], "left")
+    right = F.coalesce(F.col(secret) == F.col("__guess"), F.lit(False))
+    guessed = guessed.groupBy("epsilon").agg(total, F.sum(F.when(right, F.col("rows")).otherwise(0)).alias("successes"))
+    parts = [(SINGLING_OUT, singled), (LINKABILITY, linked), (INFERENCE, guessed)]
+    counts = _stacked([part.select("epsilon", F.lit(name).alias("attack"), "n", "successes") for name, part in parts])
+    rows = spark.createDataFrame([(float(e), name) for e in epsilons for name, _ in parts], "epsilon double, attack string")
+    joined = rows.join(there.withColumn("there", F.lit(True)), "epsilon", "left").join(counts, ["epsilon", "attack"], "left")
+    # A copy whose combinations are never unique proposes no attack.
+    known = F.col("there").isNotNull()
+    filled = joined.select("epsilon", "attack", F.when(known, F.coalesce("n", F.lit(0))).alias("n"),
+                           F.when(known, F.coalesce("successes", F.lit(0))).alias("successes"),
+                           F.when(known, "ok").otherwise("missing").alias("status"))
+    return with_labels(with_risk(filled))
+
+
+def _constant_doubles(values: Sequence[float]):
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def audit_store(original: DataFrame, store: EpsilonStore, epsilons: Sequence[float], columns: Sequence[str], aux: Sequence[str],
+                aux_a: Sequence[str], aux_b: Sequence[str], secret: str, syn_id: str = "row_id", n_cols: int = 3) -> DataFrame:
+    """``family_audit`` of the stored copies. Damaged ones are not read; their rows say so."""
+    damaged = [float(k) for k in store.damaged()]
+    copies = store.copies()
+    if copies is None:
+        used = list(dict.fromkeys([*columns, *aux, *aux_a, *aux_b, secret]))
+        copies = original.select(*used).limit(0).withColumns({syn_id: F.lit(0), "epsilon": F.lit(0.0)})
+    audit = family_audit(original, copies, epsilons, columns, aux, aux_a, aux_b, secret, syn_id, n_cols)
+    return audit.withColumn("status", F.when(F.col("epsilon").isin(damaged), "damaged").otherwise(F.col("status"))) if damaged else audit

@@ -18,7 +18,7 @@ def main() -> None:
     sf_dir = f"/root/testdata/{sf}"
     chosen = sys.argv[2:]
     spark = build_session("check", f"local[{os.environ.get('BENCH_CPUS', '8')}]",
-                          **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+                          **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
