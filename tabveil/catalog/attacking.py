@@ -12,6 +12,7 @@ from tabveil.catalog.registry import query, r6, rounded
 from tabveil.functions import scores
 from tabveil.operators import mixed, risk
 from tabveil.operators.clean import all_text
+from tabveil.operators.conjunctions import ColumnSet
 from tabveil.operators.neighbours import nearest, nearest_k
 from tabveil.session import scratch_path
 from tabveil.sources.commits import EpsilonStore
@@ -366,3 +367,46 @@ def nearest_mixed(spark, sf_dir):
     some = original.filter(F.col(ID) % 50 == 0)
     found = mixed.nearest_mixed(all_text(some, MIXED_TEXT), all_text(observed, MIXED_TEXT), MIXED_TEXT, MIXED_NUMBERS, ID, ranges)
     return found.withColumn("distance", F.round("distance", 9) + F.lit(0.0))
+
+
+CONJUNCTIONS = [
+    ColumnSet(("SG_UF", "CD_GENERO", "CD_CARGO"), ()), ColumnSet(("SG_UF", "SG_PARTIDO"), ("VR_BENS",)), ColumnSet(("CD_CARGO",), ("VR_BENS", "NR_PARTIDO")),
+    ColumnSet((), ("NR_PARTIDO", "CD_OCUPACAO", "SG_UE")),
+]
+
+
+def _conjunction_sql(number: int, s: ColumnSet) -> str:
+    """The distinct conjunctions of a set, the rows of both sides that satisfy each."""
+    ops = [f"{c} > (SELECT quantile_disc({c}, 0.5) FROM syn)" for c in s.numeric]
+    fields = [f"{text_sql(c)} AS t{i}" for i, c in enumerate(s.text)] + [
+        f"{c} AS v{i}, {op} AS o{i}" for i, (c, op) in enumerate(zip(s.numeric, ops))]
+    meets = [f"{text_sql('r.' + c)} = p.t{i}" for i, c in enumerate(s.text)] + [
+        f"(CASE WHEN p.o{i} THEN r.{c} >= p.v{i} ELSE r.{c} <= p.v{i} END)" for i, c in enumerate(s.numeric)]
+    on = " AND ".join(meets)
+    return f"""p{number} AS (SELECT *, row_number() OVER () AS pid FROM (SELECT DISTINCT {", ".join(fields)} FROM syn)),
+u{number} AS (SELECT p.pid FROM p{number} p JOIN syn r ON {on} GROUP BY p.pid HAVING count(*) = 1),
+h{number} AS (SELECT {number} AS set_no, p.pid, count(r.{ID}) AS hits FROM (SELECT * FROM p{number} SEMI JOIN u{number} USING (pid)) p
+  LEFT JOIN ori r ON {on} GROUP BY p.pid)"""
+
+
+CONJUNCTIONS_SQL = ",\n".join(_conjunction_sql(i, s) for i, s in enumerate(CONJUNCTIONS))
+HITS_SQL = " UNION ALL ".join(f"SELECT set_no, hits FROM h{i}" for i in range(len(CONJUNCTIONS)))
+
+
+def _conjunction_tables(spark, sf_dir):
+    return two_populations(spark, sf_dir, *dict.fromkeys(c for s in CONJUNCTIONS for c in (*s.text, *s.numeric)))
+
+
+@query("conjunction_hits", f"""WITH {HALVES_SQL}, {CONJUNCTIONS_SQL}
+SELECT CAST(set_no AS INTEGER) AS set_no, hits, count(*) AS predicates FROM ({HITS_SQL}) GROUP BY 1, 2""")
+def conjunction_hits(spark, sf_dir):
+    """How often unique conjunctions of equalities and ranges match 0, 1, 2 … original rows."""
+    predicates = risk.conjunction_predicates(*_conjunction_tables(spark, sf_dir), CONJUNCTIONS)
+    return predicates.groupBy("set_no", "hits").agg(F.count("*").alias("predicates"))
+
+
+@query("singling_out_conjunctions", f"""WITH {HALVES_SQL}, {CONJUNCTIONS_SQL},
+counts AS (SELECT count(*) AS n, count(*) FILTER (hits = 1) AS successes FROM ({HITS_SQL}))
+SELECT 'Singling Out' AS attack, n, successes, {wilson_sql()} FROM counts""")
+def singling_out_conjunctions(spark, sf_dir):
+    return _risks(risk.singling_out_conjunctions(*_conjunction_tables(spark, sf_dir), CONJUNCTIONS))

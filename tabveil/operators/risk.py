@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tabveil.functions.hashing import leading_int, row_digest
 from tabveil.functions.scores import excess_risk, privacy_score, risk_band, traffic_light, wilson
 from tabveil.operators.clean import all_text
+from tabveil.operators.conjunctions import ColumnSet, count_conjunctions, proposed
 from tabveil.operators.expand import key_columns, per_set
 from tabveil.operators.neighbours import nearest, nearest_k
+from tabveil.operators.ordering import order_statistics
 from tabveil.operators.sampling import sample_exact
 from tabveil.session import BROADCAST_ROWS, materialize, small_or_same
 from tabveil.sources.commits import EpsilonStore
@@ -186,6 +188,35 @@ def singling_out_multivariate(original: DataFrame, synthetic: DataFrame, columns
     return _attack_row(counts, SINGLING_OUT)
 
 
+def conjunction_predicates(original: DataFrame, synthetic: DataFrame, sets: Sequence[ColumnSet],
+                           n_attacks: int | None = None, seed: int = 42) -> DataFrame:
+    """Predicates of equalities and ranges that a single synthetic row satisfies:
+    set_no, g (texts and directions), vs (signed bounds), hits in the original.
+
+    Each synthetic row proposes one per column set; ``n_attacks`` takes that many
+    of the unique ones, by digest.
+    """
+    numeric = list(dict.fromkeys(c for s in sets for c in s.numeric))
+    medians = {c: synthetic.transform(lambda df, c=c: order_statistics(df, c, [0.5])).first()["cuts"][0] for c in numeric}
+    medians = {c: float(m) if m is not None else 0.0 for c, m in medians.items()}
+    distinct = proposed(synthetic, sets, medians).distinct()
+    wanted = materialize(distinct.withColumn("pid", F.monotonically_increasing_id()), "predicates")
+    once = count_conjunctions(synthetic, wanted, sets).filter("hits = 1")
+    unique = materialize(wanted.join(once.select("pid"), "pid", "left_semi"), "unique")
+    if n_attacks is not None:
+        unique = unique.withColumn("name", F.to_json(F.struct("set_no", "g", "vs")))
+        unique = materialize(sample_exact(unique, n_attacks, "name", seed).drop("name"), "drawn")
+    return unique.join(count_conjunctions(original, unique, sets), "pid").drop("pid")
+
+
+def singling_out_conjunctions(original: DataFrame, synthetic: DataFrame, sets: Sequence[ColumnSet],
+                              n_attacks: int | None = None, seed: int = 42) -> DataFrame:
+    """Share of conjunctions, unique in the synthetic table, that match exactly one original row."""
+    predicates = conjunction_predicates(original, synthetic, sets, n_attacks, seed)
+    counts = predicates.agg(F.count("*").alias("n"), F.count_if(F.col("hits") == 1).alias("successes"))
+    return _attack_row(counts, SINGLING_OUT)
+
+
 def attribute_ladder(original: DataFrame, population: DataFrame, rungs: Mapping[str, Sequence[str]],
                      n_cols: int = 3) -> DataFrame:
     """Singling-out risk and privacy score per set of quasi-identifiers, most
