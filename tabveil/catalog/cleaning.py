@@ -104,11 +104,13 @@ def normalize_text(spark, sf_dir):
 SELECT SG_UF, CD_CARGO, upper(DS_SIT_TOT_TURNO) AS DS_SIT_TOT_TURNO, count(*) AS n FROM cand GROUP BY ALL
 """)
 def carry_target(spark, sf_dir):
-    from tabveil.operators.generalize import normalized_label
+    """The target passes through the generalisation of the other columns."""
+    from tabveil.operators.generalize import apply_wrangling, normalized_label
 
-    projected = candidates(spark, sf_dir, "SG_UF", "CD_CARGO", "DS_SIT_TOT_TURNO")
-    kept = projected.withColumn("DS_SIT_TOT_TURNO", normalized_label(F.col("DS_SIT_TOT_TURNO")))
-    return kept.groupBy(*kept.columns).agg(F.count("*").alias("n"))
+    base = ["SG_UF", "CD_CARGO"]
+    kept = apply_wrangling(candidates(spark, sf_dir), keep=["DS_SIT_TOT_TURNO"], base=base)
+    kept = kept.withColumn("DS_SIT_TOT_TURNO", normalized_label(F.col("DS_SIT_TOT_TURNO")))
+    return kept.groupBy(*base, "DS_SIT_TOT_TURNO").agg(F.count("*").alias("n"))
 
 
 @query("common_columns", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabveil.catalog.fixtures import CANDIDATES_SQL, candidates, table
 from tabveil.catalog.registry import query, r6
 from tabveil.operators import generalize as g
+from tabveil.operators import sketches
 from tabveil.roles import BASE_COLUMNS, STRATEGIES
 
 YEAR = "year(try_strptime(DT_NASCIMENTO, '%d/%m/%Y'))"
@@ -172,3 +173,42 @@ def missing_birth_date(spark, sf_dir):
     bare = candidates(spark, sf_dir, "SQ_CANDIDATO", "CD_GENERO")
     wrangled = g.apply_wrangling(bare, "intensive")
     return wrangled.groupBy("FAIXA_ETARIA", "CD_GENERO").agg(F.count("*").alias("n"))
+
+
+SKETCHED = ["NM_URNA_CANDIDATO", "NM_UE", "SG_PARTIDO", "CD_OCUPACAO", "SG_UF_NASCIMENTO", "VR_BENS"]
+
+
+def _sketches(spark, sf_dir):
+    """Sketches of the parts by gender, merged."""
+    rows = candidates(spark, sf_dir, *SKETCHED, "CD_GENERO")
+    return rows, sketches.sketch(rows, SKETCHED, by=["CD_GENERO"])
+
+
+@query("sketched_cardinality", f"WITH {CANDIDATES_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, true AS within FROM cand"
+    for c in SKETCHED))
+def sketched_cardinality(spark, sf_dir):
+    """Exact distinct counts, and whether the merged sketches are within five per cent of them."""
+    rows, parts = _sketches(spark, sf_dir)
+    exact = g.distinct_counts(rows, SKETCHED)
+    sizes = sketches.merged(parts).select("feature", "rows", "nulls")
+    estimates = sketches.distinct_estimates(parts).select("feature", F.col("n_distinct").alias("estimate"))
+    near = sketches.within(F.col("estimate"), F.col("n_distinct"), 0.05)
+    return sizes.join(exact, "feature").join(estimates, "feature").select("feature", "rows", "nulls", "n_distinct", near.alias("within"))
+
+
+FRACTIONS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query("sketched_quantiles", "SELECT * FROM (VALUES ('CD_OCUPACAO', true), ('VR_BENS', true)) v(feature, within)")
+def sketched_quantiles(spark, sf_dir):
+    """Whether every sketched cut has its share of the rows, within two per cent of all."""
+    rows, parts = _sketches(spark, sf_dir)
+    out = None
+    for r in sketches.quantiles(parts, FRACTIONS).collect():  # one row per numeric column
+        c, cuts = r["feature"], r["cuts"]
+        below = [F.avg((F.col(c) < v).cast("int")) <= f + 0.02 for f, v in zip(FRACTIONS, cuts)]
+        upto = [F.avg((F.col(c) <= v).cast("int")) >= f - 0.02 for f, v in zip(FRACTIONS, cuts)]
+        row = rows.agg(F.forall(F.array(*below, *upto), lambda ok: ok).alias("within")).select(F.lit(c).alias("feature"), "within")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -110,3 +110,19 @@ def pii_treatments(spark, sf_dir):
 SELECT doc_id, md5(regexp_replace(text, '{LOOSE}', '<CPF>', 'g')) AS digest FROM documents""")
 def redact_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents", balance=True).select("doc_id", F.md5(pii.redacted(F.col("text"))).alias("digest"))
+
+
+# --- patterns of unlike certainty ---------------------------------------------
+SCORED = [pii.CPF, pii.Pattern("YEAR", r"(19|20)[0-9][0-9]", 0.3), pii.Pattern("MAIL", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", 0.6)]
+CUTOFFS = [0.2, 0.4, 0.7, 0.9]
+
+
+@query("pii_score_cutoff", " UNION ALL ".join(
+    f"SELECT {c}e0 AS cutoff, count(*) FILTER ({' OR '.join(['false', *[f'''regexp_matches(text, '{p.regex}')''' for p in SCORED if p.score >= c]])}) AS hits, "
+    "count(*) AS n FROM documents" for c in CUTOFFS))
+def pii_score_cutoff(spark, sf_dir):
+    """Texts with a hit, by the least score that a pattern needs to count."""
+    docs = table(spark, sf_dir, "documents", balance=True)
+    hits = docs.agg(*[F.count_if(pii.matches(F.col("text"), SCORED, c)).alias(f"h{i}") for i, c in enumerate(CUTOFFS)], F.count("*").alias("n"))
+    rows = F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"h{i}").alias("hits"), F.col("n").alias("n")) for i, c in enumerate(CUTOFFS)])
+    return hits.select(F.inline(rows))

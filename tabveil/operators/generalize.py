@@ -17,6 +17,7 @@ from tabveil.functions import text
 from tabveil.functions.literals import is_one_of
 from tabveil.operators.clean import normalize_text, select_available
 from tabveil.operators.ordering import order_statistics
+from tabveil.session import BROADCAST_BYTES, BROADCAST_ROWS
 from tabveil.roles import (
     BASE_COLUMNS, GENERATION_BINS, IDENTIFIER_COLUMNS, NO_SOURCE_TOKEN, REST_TOKEN, SHORT_REST_TOKEN,
     Strategy, strategy,
@@ -44,12 +45,6 @@ def with_birth_year(df: DataFrame, source: str, name: str = "year", pattern: str
     return df.withColumn(name, year)
 
 
-def impute_median(df: DataFrame, column: str) -> DataFrame:
-    """Null replaced by the exact median of the column."""
-    median = df.agg(F.median(column)).scalar()
-    return df.withColumn(column, F.coalesce(F.col(column).cast("double"), median))
-
-
 def exact_year(year: Column) -> Column:
     """The year as text, decimals cut off."""
     return year.cast("int").cast("string")
@@ -93,14 +88,14 @@ def top_categories(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:
 
 
 def keep_categories(df: DataFrame, kept: Mapping[str, Sequence[str]], rest: str = REST_TOKEN) -> DataFrame:
-    """Listed values stay, all others become ``rest``.
+    """Listed values stay, all others become ``rest``; the columns become text.
 
     Also the entry for public category lists that cost no privacy.
     """
     literal = {c: v for c, v in kept.items() if len(v) <= LITERAL_VALUES}
     out = df.select(*[
-        F.when(is_one_of(c, literal[c]), F.col(c)).otherwise(rest).alias(c)
-        if c in literal else F.col(c)
+        F.when(is_one_of(c, literal[c]), F.col(c).cast("string")).otherwise(rest).alias(c) if c in literal
+        else F.col(c).cast("string").alias(c) if c in kept else F.col(c)
         for c in df.columns
     ])
     for column, values in kept.items():
@@ -108,7 +103,8 @@ def keep_categories(df: DataFrame, kept: Mapping[str, Sequence[str]], rest: str
             continue
         # As many rows as the caller listed; the list is on the driver already.
         table = df.sparkSession.createDataFrame([(v, True) for v in values], f"`{column}` string, kept boolean")
-        table = F.broadcast(table) if len(values) <= 200_000 else table
+        small = len(values) <= BROADCAST_ROWS and sum(len(str(v)) for v in values) * 4 <= BROADCAST_BYTES
+        table = F.broadcast(table) if small else table
         out = out.join(table, column, "left").withColumn(
             column, F.when(F.col("kept"), F.col(column)).otherwise(rest)
         ).drop("kept").select(*df.columns)

@@ -24,8 +24,10 @@ def sort_key(ids: Sequence[str], seed: int | str) -> Column:
     return F.struct(row_digest(ids, seed).alias("digest"), *[F.col(c) for c in ids])
 
 
-def nth_keys(df: DataFrame, ids: Sequence[str], seed: int | str, wanted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The ``wanted`` smallest sort key, per group.
+def nth_keys(df: DataFrame, ids: Sequence[str], seed: int | str, wanted: DataFrame, by: Sequence[str] = (),
+             ties: bool = False) -> DataFrame:
+    """The ``wanted`` smallest sort key, per group. With ``ties`` also ``take`` and
+    ``tied``: how many rows with this key belong to the first ones, and how many there are.
 
     ``wanted`` has the columns ``by`` and ``k`` (one row per group). A group with
     fewer than ``k`` rows, or ``k`` below 1, gives no row. Groups may be of any
@@ -55,7 +57,10 @@ def nth_keys(df: DataFrame, ids: Sequence[str], seed: int | str, wanted: DataFra
         inside = keys.withColumn("cut", cut.scalar()).filter("bucket = cut.bucket").select("key", "bucket", "cut.rank")
     order = W.partitionBy(*by, "bucket").orderBy("key")
     ranked = inside.withColumn("position", F.row_number().over(order))
-    return ranked.filter("position = rank").select(*by, "key")
+    if not ties:
+        return ranked.filter("position = rank").select(*by, "key")
+    near = ranked.withColumns({"before": F.rank().over(order) - 1, "tied": F.count("*").over(W.partitionBy(*by, "bucket", "key"))})
+    return near.filter("position = rank").select(*by, "key", (F.col("position") - F.col("before")).alias("take"), "tied")
 
 
 def split_points(distinct: DataFrame, key: Column, splits: int = SPLITS) -> DataFrame:

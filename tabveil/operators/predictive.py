@@ -168,6 +168,14 @@ def tstr_three_way(real: DataFrame, wrangled: DataFrame, synthetic: DataFrame, f
     return rows
 
 
+def forest_score(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10,
+                 seed: int = 42) -> DataFrame:
+    """Scores of a forest on test rows, with one dictionary over both tables."""
+    columns = [*features, label]
+    codes, test_codes = encode_union([train.select(*columns), test.select(*columns)], columns)
+    return score_model(forest(trees, depth, seed).fit(assemble(codes, features, label)), assemble(test_codes, features, label))
+
+
 def train_score(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                 wrangle: Sequence[str] = (), wrangle_test: bool = False, rounds: int = 100,
                 seed: int = 42) -> DataFrame:

@@ -22,12 +22,23 @@ def _one(df: DataFrame, k) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, n: int, row_id: str | Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows: those with the smallest digests."""
+    """Exactly ``min(n, rows)`` rows: those with the smallest digests.
+
+    Rows that share an id share a digest; where the cut falls among them, those
+    with the smallest hash of all their columns are taken.
+    """
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     if n < 1:
         return df.limit(0)
-    last = nth_keys(df, ids, seed, _one(df, n)).scalar()
-    return df.filter(F.coalesce(sort_key(ids, seed) <= last, F.lit(True)))
+    cut = nth_keys(df, ids, seed, _one(df, n), ties=True).first()  # one row
+    if cut is None:
+        return df
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    last = F.struct(F.lit(cut["key"]["digest"]).alias("digest"), *[F.lit(cut["key"][c]).cast(kinds[c]).alias(c) for c in ids])
+    if cut["take"] == cut["tied"]:
+        return df.filter(sort_key(ids, seed) <= last)
+    tied = df.filter(sort_key(ids, seed).eqNullSafe(last)).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(cut["take"])
+    return df.filter(sort_key(ids, seed) < last).unionByName(tied)
 
 
 def sample_guard(df: DataFrame, row_id: str, max_rows: int | None = None, n: int = 10_000, seed: int = 42) -> DataFrame:

@@ -15,7 +15,7 @@ from tabveil.functions.scores import risk_band, safe_round, traffic_light
 from tabveil.operators import pii, predictive, risk, synthesis, utility
 from tabveil.operators.clean import common_columns
 from tabveil.operators.generalize import apply_wrangling, cardinality_report
-from tabveil.operators.sampling import sample_guard
+from tabveil.operators.sampling import sample_guard, train_test
 from tabveil.roles import Roles, Strategy, require_columns
 from tabveil.session import materialize
 from tabveil.sources.readers import read_table
@@ -84,7 +84,7 @@ def audit(original: DataFrame, synthetic: DataFrame, roles: Roles, syn_id: str,
 
 def anonymize(df: DataFrame, roles: Roles, epsilon: float = 1.0, delta: float = 1e-6,
               profile: str | Strategy = "high_fidelity", domain: Mapping[str, Sequence[str]] | None = None,
-              max_rows: int | None = None, detect_pii: bool = True, n_attacks: int | None = 500,
+              max_rows: int | None = None, detect_pii: bool = True, n_attacks: int | None = None,
               sample_size: int | None = None, seed: int = 42,
               noise_seed: int | None = None) -> Result:
     """One private copy of a table with utility and risks.
@@ -187,7 +187,7 @@ def run_scenario(scenario: Scenario, prepared: Prepared, roles: Roles, models: M
 
 
 def scenario_matrix(df: DataFrame, roles: Roles, scenarios: Sequence[Scenario] = SCENARIOS,
-                    models: Mapping[str, object] | None = None, n_attacks: int | None = 500, seed: int = 42,
+                    models: Mapping[str, object] | None = None, n_attacks: int | None = None, seed: int = 42,
                     noise_seed: int | None = None, isolate_errors: bool = True) -> DataFrame:
     """One row per scenario: utility, risks, model scores.
 
@@ -218,39 +218,56 @@ def scenario_matrix(df: DataFrame, roles: Roles, scenarios: Sequence[Scenario] =
     return reduce(DataFrame.unionByName, rows)
 
 
+COMPARISON_SCHEMA = T.StructType([
+    T.StructField("epsilon", T.DoubleType()), T.StructField("privacy_score", T.DoubleType()), T.StructField("risk_linkability", T.DoubleType()),
+    T.StructField("risk_inference", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("utility_jsd", T.DoubleType()),
+    T.StructField("f1_synthetic", T.DoubleType()), T.StructField("f1_drop", T.DoubleType()), T.StructField("error", T.StringType()),
+])
+
+
 def compare_epsilons(df: DataFrame, roles: Roles, epsilons: Sequence[float] = COMPARED_EPSILONS,
-                     profile: str = "high_fidelity", n_attacks: int | None = 500, trees: int = 100, depth: int = 10,
-                     seed: int = 42, noise_seed: int | None = None) -> DataFrame:
+                     profile: str = "high_fidelity", n_attacks: int | None = None, trees: int = 100, depth: int = 10,
+                     test_fraction: float = 0.2, seed: int = 42, noise_seed: int | None = None, isolate_errors: bool = True) -> DataFrame:
     """Per ε: worst of linkability and inference, its band, utility, F1 of a
-    forest trained on the copy and the F1 lost against the generalised table."""
+    forest trained on the copy and the F1 lost against the generalised table.
+
+    Copies are made from training rows and all forests are scored on the same
+    held-out rows; the forest of the generalised table is fitted once. With
+    ``isolate_errors`` an ε that fails leaves a row with its ``error``; if all
+    fail, the last error is raised.
+    """
     prepared = prepare(df, roles, profile, seed=seed)
-    table = prepared.table.select(*prepared.columns)
+    train, test = train_test(prepared.table, test_fraction, roles.row_id, seed)
+    table = train.select(*prepared.columns)
     exact = synthesis.exact_marginals(table, synthesis.observed_domain(table, prepared.columns))
     features = [c for c in prepared.columns if c != roles.target]
     aux, a, b = _axes(roles, prepared.columns)
-    rows = []
+    f1_real = float(predictive.forest_score(train, test, features, roles.target, trees, depth, seed).first()["weighted_f1"])
+    rows, failed, error = [], 0, None
     for epsilon in epsilons:
-        copy = materialize(synthesis.generate(synthesis.fit(exact, epsilon=epsilon, seed=noise_seed), seed=seed), "synthetic")
-        link = risk.linkability(prepared.table, copy, a, b, roles.row_id, "row_id", n_attacks, seed=seed)
-        guess = risk.inference(prepared.table, copy, aux, roles.secret, roles.row_id, "row_id", n_attacks, seed)
-        scores = predictive.tstr_three_way(
-            prepared.table, prepared.table, copy, features, roles.target, roles.row_id, trees=trees, depth=depth, seed=seed
-        )
-
-        def f1(name: str, scores: DataFrame = scores):
-            return F.max(F.when(F.col("trained_on") == name, F.col("weighted_f1"))).alias(f"f1_{name.lower()}")
-
-        wide = risk.audit_row(link.unionByName(guess))
-        row = wide.withColumn("f1", scores.agg(F.struct(f1("Wrangled"), f1("Synthetic"))).scalar()).select(
-            F.lit(float(epsilon)).alias("epsilon"), safe_round(F.col("privacy_score")).alias("privacy_score"),
-            safe_round(F.col("linkability_risk")).alias("risk_linkability"),
-            safe_round(F.col("inference_risk")).alias("risk_inference"),
-            risk_band(1 - F.col("privacy_score")).alias("status"),
-            safe_round(utility.marginal_utility(table, copy, prepared.columns).scalar()).alias("utility_jsd"),
-            safe_round(F.col("f1.f1_synthetic")).alias("f1_synthetic"),
-            safe_round(F.col("f1.f1_wrangled") - F.col("f1.f1_synthetic")).alias("f1_drop"),
-        )
-        rows.append(materialize(row, "comparison"))
+        try:
+            copy = materialize(synthesis.generate(synthesis.fit(exact, epsilon=epsilon, seed=noise_seed), seed=seed), "synthetic")
+            link = risk.linkability(train, copy, a, b, roles.row_id, "row_id", n_attacks, seed=seed)
+            guess = risk.inference(train, copy, aux, roles.secret, roles.row_id, "row_id", n_attacks, seed)
+            f1 = float(predictive.forest_score(copy, test, features, roles.target, trees, depth, seed).first()["weighted_f1"])
+            row = risk.audit_row(link.unionByName(guess)).select(
+                F.lit(float(epsilon)).alias("epsilon"), safe_round(F.col("privacy_score")).alias("privacy_score"),
+                safe_round(F.col("linkability_risk")).alias("risk_linkability"),
+                safe_round(F.col("inference_risk")).alias("risk_inference"),
+                risk_band(1 - F.col("privacy_score")).alias("status"),
+                safe_round(utility.marginal_utility(table, copy, prepared.columns).scalar()).alias("utility_jsd"),
+                safe_round(F.lit(f1)).alias("f1_synthetic"), safe_round(F.lit(f1_real - f1)).alias("f1_drop"),
+                F.lit(None).cast("string").alias("error"),
+            )
+            rows.append(materialize(row, "comparison"))
+        except Exception as caught:
+            if not isolate_errors:
+                raise
+            failed, error = failed + 1, caught
+            values = (float(epsilon), *[None] * (len(COMPARISON_SCHEMA) - 2), f"{type(caught).__name__}: {caught}"[:500])
+            rows.append(df.sparkSession.createDataFrame([values], COMPARISON_SCHEMA))
+    if error is not None and failed == len(rows):
+        raise error
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -188,3 +188,10 @@ def test_kept_values_may_hold_quotes(spark):
     items = ["it's"] * 5 + ["back\\slash"] * 4 + ['say "hi"'] * 3 + ["x", "y"]
     got = Counter(values(generalize.top_n_other(rows_of(spark, items), {"x": 3})))
     assert got == {"it's": 5, "back\\slash": 4, 'say "hi"': 3, "OUTROS_GRUPOS": 2}
+
+
+def test_top_categories_of_numbers(spark):
+    df = spark.createDataFrame([(1, 0.5)] * 3 + [(2, 1.5)] * 2 + [(3, 2.5), (None, None)], "a int, b double")
+    rows = generalize.top_n_other(df, {"a": 1, "b": 2}).groupBy("a", "b").count().collect()
+    assert {(r["a"], r["b"]): r["count"] for r in rows} == {
+        ("1", "0.5"): 3, ("OUTROS_GRUPOS", "1.5"): 2, ("OUTROS_GRUPOS", "OUTROS_GRUPOS"): 2}

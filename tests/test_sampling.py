@@ -52,3 +52,11 @@ def test_disjoint_populations(spark):
     assert parts == {i: "A" if k < 200 else "B" for k, i in enumerate(order[:1000])}
     assert sampling.split_disjoint(df, 200, None, "id").count() == 1500
     assert Counter(r.part for r in sampling.split_disjoint(df, 0, 10, "id").collect()) == {"B": 10}
+
+
+def test_repeated_ids_do_not_make_a_sample_larger(spark):
+    df = spark.createDataFrame([(7, k) for k in range(5)] + [(8, 0), (None, 1), (None, 2)], "id long, k int")
+    for n in range(1, 9):
+        rows = [tuple(r) for r in sampling.sample_exact(df, n, "id").collect()]
+        assert len(rows) == n and len(set(rows)) == n
+    assert sampling.sample_exact(df, 3, "id").collect() == sampling.sample_exact(df.repartition(3), 3, "id").collect()
