@@ -44,7 +44,8 @@ THRESHOLD = 75  # per cent
 FREQUENT = 200_000  # tokens of the order's tail, at most
 FREQUENT_FROM = 16
 ROUND_ONE = 2  # leaders that a set is compared with in the first round
-FIRST_SHARED = 3  # common tokens by which a pair is found in the second round; any number finds all
+FIRST_SHARED = 1  # common tokens by which a pair is found in the second round; any number finds all
+LAST_SEEN = 6  # list tokens before an entry that it carries; any number finds all
 POSTINGS_PER_PART = 2_000_000
 
 
@@ -284,14 +285,19 @@ def _may_meet(threshold: int) -> Column:
     ``upto`` counts a set's list tokens up to this one and ``after`` those behind it.
     Up to a common token both sets share list tokens only. Behind it that holds for
     the prefix that ends first, and which one does is not known here: the other set
-    may share any of its tokens.
+    may share any of its tokens. Where the sets share a list token shortly before this
+    one, they were held against each other there, by weaker bounds.
     """
     listed = {s: F.col(f"{s}_after") + F.ceil(F.col(f"{s}_n") * threshold / 100) - 1 for s in "xy"}
     left = {s: F.col(f"{s}_n") - F.col(f"{s}_pos") - 1 for s in "xy"}
     most = F.least("x_upto", "y_upto") + F.greatest(F.least(listed["x"], left["y"]), F.least(listed["y"], left["x"]))
     return (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")) \
         & (100 * most >= threshold * (F.col("x_n") + F.col("y_n") - most)) \
-        & (F.least("x_after", "y_after") >= _needed(threshold) - FIRST_SHARED)
+        & (F.least("x_after", "y_after") >= _needed(threshold) - FIRST_SHARED) \
+        & ~F.arrays_overlap("x_last", "y_last")
+
+
+LIST_COLUMNS = ("key", "n", "pos", "upto", "after", "label", "last")
 
 
 def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -329,20 +335,20 @@ def link_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     own = Window.partitionBy("key")
     mixed = marked.join(spread, "token").withColumns({
         "upto": F.count(F.lit(1)).over(own.orderBy("pos")),
-        "after": F.count(F.lit(1)).over(own) - F.rank().over(own.orderBy("pos"))})
+        "after": F.count(F.lit(1)).over(own) - F.rank().over(own.orderBy("pos")),
+        "last": F.collect_list("token").over(own.orderBy("pos").rowsBetween(-LAST_SEEN, -1))})
     mixed = materialize(mixed, "mixed")
     shares = mixed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "label"))["label"].alias("major"))
     shares = materialize(shares, "shares")
     flagged = mixed.join(shares, "token")
-    minor = flagged.where("label != major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "pos", "upto", "after", "label")])
-    other = flagged.select("token", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "pos", "upto", "after", "label")], (F.col("label") == F.col("major")).alias("y_major"))
+    minor = flagged.where("label != major").select("token", *[F.col(c).alias(f"x_{c}") for c in LIST_COLUMNS])
+    other = flagged.select("token", *[F.col(c).alias(f"y_{c}") for c in LIST_COLUMNS], (F.col("label") == F.col("major")).alias("y_major"))
     meet = minor.join(other, "token").where(
         (F.col("x_label") != F.col("y_label")) & (F.col("y_major") | (F.col("x_key") < F.col("y_key")))
         & _may_meet(threshold))
-    met = meet.groupBy(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), _needed(threshold).alias("needed")).agg(
-        F.count(F.lit(1)).alias("shared"))
-    pairs = met.where(F.col("shared") >= F.least("needed", F.lit(FIRST_SHARED))).select("a", "b")
+    # Two sets that share one of the last tokens before this one have met there, or cannot be similar.
+    pairs = meet.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     late = materialize(_verified(late, reps, docs, size, threshold), "links")
