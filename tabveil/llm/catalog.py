@@ -49,7 +49,9 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))[0]
+    rows, found = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"exponent": F.lit(found.exponent), "entropy": F.lit(found.entropy),
+                             "wanted_entropy": F.lit(found.wanted).cast("double"), "outcome": F.lit(found.outcome)})
 
 
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

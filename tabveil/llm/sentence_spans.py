@@ -5,10 +5,13 @@ join by hash, and a sentence that lies in any run seen before, in a document
 with a smaller id or earlier in its own, is removed. The first copy stays.
 
 A sentence ends behind ``.``, ``!`` or ``?`` before white space, and at a line
-feed. Runs are compared by their words with A-Z lower-cased; a run of fewer than
-``min_words`` words says nothing. Null and empty texts have no sentences and
-come back as they were. Rows with one id count as one document. A row without
-an id loses only what it repeats itself. Extra columns are ignored.
+feed. Runs are compared by their words with A-Z lower-cased. All runs count,
+however short; ``min_words`` is for callers who want to pass over short ones. Null
+and empty texts have no sentences and come back as they were. A long text has as
+many runs as sentences. Documents are told apart by id and text: rows without an
+id come before all others, rows with one id are ordered by a digest of their
+texts, and rows equal in both keep the same text. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from tabveil.llm import textbytes as tb
 from tabveil.session import materialize
 
 SENTENCES = 2
-MIN_WORDS = 10
+MIN_WORDS = 1
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
@@ -67,7 +70,7 @@ def run_rows(documents: DataFrame, size: int, min_words: int) -> DataFrame:
                                                  names=["run", "id"])
 
     kind = documents.schema["id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"run long, id {kind}")
+    return documents.select("id", "body").mapInArrow(run, f"run long, id {kind}")
 
 
 def dedup(documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -77,7 +80,9 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", text: str = "text", s
     several documents are joined back, so a run that a third of the documents
     share is one row on one side and split by adaptive execution on the other.
     """
-    picked = documents.select(F.col(id_column).alias("id"), F.col(text).alias("body"))
+    # Never null, also where its parts are; ordered by id first.
+    key = F.struct(F.col(id_column).alias("own"), F.xxhash64(text).alias("body_hash"))
+    picked = documents.select(key.alias("id"), F.col(text).alias("body"))
     runs = run_rows(picked, size, min_words)
     firsts = runs.groupBy("run").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
     # Written first: a join between plain shuffles is one whose hot partitions can be split.
@@ -122,4 +127,5 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", text: str = "text", s
 
     kind = picked.schema["id"].dataType.simpleString()
     joined = picked.join(per_doc, "id", "left").select("id", "body", "runs")
-    return joined.mapInArrow(clean, f"id {kind}, text string, n_sentences long, n_removed long, removed string").withColumnRenamed("id", id_column)
+    found = joined.mapInArrow(clean, f"id {kind}, text string, n_sentences long, n_removed long, removed string")
+    return found.select(F.col("id.own").alias(id_column), "text", "n_sentences", "n_removed", "removed")

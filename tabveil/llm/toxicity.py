@@ -81,29 +81,30 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments [start, end) in one left-to-right scan.
 
     Equal signs are merged before, so the scan works on runs. The list keeps
-    candidates with the sums before their left and behind their right end; a new
-    one is merged with an earlier one whose left sum is lower and right sum
-    not higher, as long as there is such.
+    candidates with the sums before their left and behind their right end, and
+    the place of the nearest earlier one whose left sum is lower. A new one is
+    merged with that one as long as its right sum is lower. What a link skips
+    is never looked at again, so the scan is linear also where sums only fall.
     """
     if not len(scores) or scores.max() <= 0:
         return []
     positive = scores > 0
     edges = np.concatenate([[0], np.flatnonzero(positive[1:] != positive[:-1]) + 1, [len(scores)]])
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[tuple[int, int, float, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     for i in range(0 if positive[0] else 1, len(edges) - 1, 2):
         a, b = int(edges[i]), int(edges[i + 1])
         left, right = sums[a], sums[b]
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
             a, left = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append((a, b, left, right))
-    return [(a, b, right - left) for a, b, left, right in stack]
+        stack.append((a, b, left, right, j))
+    return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
 def evidence(model: Model, scores: np.ndarray) -> tuple[float, float, float, list[tuple[int, int, float]]]:

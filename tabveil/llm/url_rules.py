@@ -7,8 +7,10 @@ stack holds one chain of nested hosts, and the longest rule on it whose path
 fits decides.
 
 Nulls and texts without ``://`` have an empty host and path and match no rule.
-Repeated urls are judged each. Rules given twice count once; of two equal rules
-the blocking one counts. An empty rule table gives the default to all urls.
+Repeated urls and ids are judged each, null ids too. Control characters in a host
+are characters like others. Rules given twice count once; of two equal rules
+the blocking one counts. An empty rule table gives the default to all urls, an
+empty table of urls an empty result. Further columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Labels are closed by a byte below all others, so "com.a" sorts before "com-a".
+# Labels are closed by a character that no label holds: within labels it is written otherwise.
 LABEL_END = "\x01"
+ESCAPE = "\x02"
 SAMPLE_PER_RANGE = 32
 
 
@@ -38,7 +41,8 @@ def path_of(url: Column) -> Column:
 
 def host_key(host: Column) -> Column:
     """Reversed labels, each closed: ``a.b.net`` gives ``net|b|a|``; an empty host the empty key."""
-    labels = F.reverse(F.split(host, r"\.", -1))
+    plain = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE + "e")), F.lit(LABEL_END), F.lit(ESCAPE + "l"))
+    labels = F.reverse(F.split(plain, r"\.", -1))
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(labels, LABEL_END), F.lit(LABEL_END)))
 
 

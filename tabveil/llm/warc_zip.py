@@ -6,9 +6,11 @@ The reader finds the end-of-central-directory record (and its ZIP64 form),
 lists the members, reads the index member and then fetches single records by
 range; nothing is extracted. Large packages are read by many tasks.
 
-Payload nulls and empty payloads are records with an empty block. Repeated rows
-give repeated records; of rows with the same smallest id and payload one is the
-response and the others revisit it. An empty table gives no package and no row.
+Payload nulls and empty payloads are records with an empty block; a long one is a
+record like others. Repeated rows give repeated records; rows that share the
+smallest id of their payload are responses each. Ids may hold any character. Rows
+without an id revisit the smallest id with their payload, and are responses where
+none has one. Further columns are ignored. An empty table gives no package and no row.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -157,15 +160,29 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+NO_ID = "%"  # no quoted text is this
+
+
+def id_text(page_id) -> str:
+    """An id as it stands in headers and indexes: quoted, so it has no space or line break."""
+    return NO_ID if page_id is None else quote(str(page_id), safe="")
+
+
+def id_back(stated: str | None) -> str | None:
+    """The id behind ``id_text``; none for a missing header and for a row without one."""
+    quoted = None if stated is None else stated.strip("<>").removeprefix(RECORD_ID)
+    return None if quoted in (None, NO_ID) else unquote(quoted)
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One WARC record: a response, or a revisit that names the record with the same payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = "".join((url or "").split()) or "urn:none"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_ID}{page_id}>",
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_ID}{id_text(page_id)}>",
             f"WARC-Target-URI: {target}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{RECORD_ID}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{RECORD_ID}{id_text(refers_to)}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -186,9 +203,8 @@ def parse_record(raw: bytes) -> dict:
     response, payload = head["warc-type"] == "response", block[http_end + 4:]
     if response and (digest_of(payload) != stated or len(payload) != int(http["content-length"])):
         raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
-    plain = lambda v: None if v is None else v.strip("<>").removeprefix(RECORD_ID)
-    return {"record_id": plain(head["warc-record-id"]), "record_type": head["warc-type"], "payload_digest": stated,
-            "payload_bytes": int(http["content-length"]), "refers_to": plain(head.get("warc-refers-to")),
+    return {"record_id": id_back(head["warc-record-id"]), "record_type": head["warc-type"], "payload_digest": stated,
+            "payload_bytes": int(http["content-length"]), "refers_to": id_back(head.get("warc-refers-to")),
             "url": head["warc-target-uri"], "payload": payload if response else None}
 
 
@@ -196,6 +212,9 @@ def mark_revisits(pages: DataFrame, id_column: str = "page_id", url_column: str
                   min_bytes: int = 0) -> DataFrame:
     """Id, url, payload and the id of the first record with the same payload, where that is another.
 
+    A row without an id revisits the smallest id that has its payload; where none
+    has one, and for rows that share the smallest id, each is a response.
+
     The smallest id per payload comes from a map-side aggregation of digests; the
     join back moves ids and digests only, so a payload with a third of all rows
     is split by adaptive execution.
@@ -207,8 +226,8 @@ def mark_revisits(pages: DataFrame, id_column: str = "page_id", url_column: str
         F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     # Written first: a join between plain shuffles is one whose hot partitions can be split.
     firsts = materialize(firsts, "firsts")
-    return rows.join(firsts, "digest", "left").withColumn(
-        "refers_to", F.when(F.col("first") != F.col("id"), F.col("first"))).select("id", "url", "payload", "refers_to")
+    other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    return rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(other, F.col("first"))).select("id", "url", "payload", "refers_to")
 
 
 def write_packages(marked: DataFrame, folder: str) -> DataFrame:
@@ -241,7 +260,7 @@ def write_packages(marked: DataFrame, folder: str) -> DataFrame:
                     begun = package.begin("archive/data.warc.gz")
                 squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
                 packed = squeeze.compress(record(page, url, payload, refers)) + squeeze.flush()
-                index.append(f"{page} {package.at - begun} {len(packed)}\n")
+                index.append(f"{id_text(page)} {package.at - begun} {len(packed)}\n")
                 package.put(packed)
                 n += 1
                 if package.at > PACKAGE_BYTES:
