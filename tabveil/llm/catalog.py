@@ -17,14 +17,18 @@ Build = Callable[[SparkSession, str], DataFrame]
 # Rules of the URL query: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+# Bytes of the shorter passages that op1 also counts.
+SHORT_REPEAT = 200
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), also=(SHORT_REPEAT,))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                        F.element_at("n_also", 1).alias(f"n_repeated_{SHORT_REPEAT}"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

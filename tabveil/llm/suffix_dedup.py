@@ -17,15 +17,19 @@ third of all documents quote, each in its own surroundings) are settled window b
 window in a map-side aggregation instead, so no group is ever held in one task.
 
 Contexts and hot windows are compared by 64-bit hashes within groups of equal
-64-bit anchor hashes, all else byte by byte. Null and empty texts have no
-windows. Rows with one id count as one document: a span found in any of them is
-removed from each, as far as its text reaches. Null ids are one id. Extra
-columns are ignored; an empty table gives an empty result.
+64-bit anchor hashes, all else byte by byte. Several lengths are judged in one
+pass, their anchors in groups of their own; texts move once for all of them.
+
+Null and empty texts have no windows. Rows are told apart by id and a digest of
+the text, so rows that share an id, or have none, keep their own spans; rows equal
+in both are copies of each other, and with ``keep="first"`` neither is the later
+one. Rows without an id come before all others. Very long texts go through in
+slices of their own. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +83,22 @@ def anchor_slice(texts: tb.Texts, length: int, gram: int) -> dict[str, np.ndarra
             "at": low - texts.offsets[row], "span": high - low}
 
 
-def find_anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, ctx, id, at, span) of every anchor of every text."""
+def find_anchors(documents: DataFrame, lengths: Sequence[tuple[int, int]]) -> DataFrame:
+    """(h, ctx, id, at, span, size) of every anchor of every text, for each (length, gram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in tb.slices(batch.column("body")):
-                found = anchor_slice(texts, length, gram)
-                ids = batch.column("id").take(pa.array(found["row"] + texts.first_row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["h"]), pa.array(found["ctx"]), ids, pa.array(found["at"]), pa.array(found["span"])],
-                    names=["h", "ctx", "id", "at", "span"])
+                for length, gram in lengths:
+                    found = anchor_slice(texts, length, gram)
+                    ids = batch.column("id").take(pa.array(found["row"] + texts.first_row))
+                    # Groups of different lengths never meet.
+                    h = tb.mix(found["h"].view(np.uint64) ^ np.uint64(length)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h), pa.array(found["ctx"]), ids, pa.array(found["at"]), pa.array(found["span"]),
+                         pa.array(np.full(len(h), length, np.int32))], names=["h", "ctx", "id", "at", "span", "size"])
 
-    return documents.mapInArrow(run, f"h long, ctx long, id {documents.schema['id'].dataType.simpleString()}, at long, span long")
+    return documents.mapInArrow(run, f"h long, ctx long, id {documents.schema['id'].dataType.simpleString()}, at long, span long, size int")
 
 
 def capped_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -148,7 +155,7 @@ def match_contexts(rows: list[dict], length: int) -> list[tuple[int, int, int, b
     owner = np.repeat(np.arange(len(rows)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     # Rows come in order of (id, at) within a chunk's groups, so this is text order.
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["id"] is not None, rows[i]["id"], rows[i]["at"]))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["id"]["own"] is not None, *rows[i]["id"].values(), rows[i]["at"]))
     standing = np.empty(len(rows), np.int64)
     standing[order] = np.arange(len(rows))
     rank = capped_ranks(data, begin[owner] + inside, length)
@@ -164,59 +171,62 @@ def match_contexts(rows: list[dict], length: int) -> list[tuple[int, int, int, b
     return found
 
 
-def _cut_contexts(reps: DataFrame, documents: DataFrame, length: int) -> DataFrame:
+def _cut_contexts(reps: DataFrame, documents: DataFrame) -> DataFrame:
     """Contexts of representatives, or the window hashes of those in hot groups, cut out of the texts."""
     id_kind = documents.schema["id"].dataType
-    wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "at", "span", "alone", "hot")).alias("cuts"))
-    joined = documents.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id"))).select("d.id", "body", "cuts")
+    wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "at", "span", "size", "alone", "hot")).alias("cuts"))
+    joined = documents.join(wanted, "id").select("id", "body", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column("body"))
             for i in range(batch.num_rows):
                 text = data[offsets[i]:offsets[i + 1]]
-                page, cuts = batch.column("id")[i].as_py(), batch.column("cuts")[i].as_py()
-                out, sums = {c: [] for c in ("h", "id", "at", "alone", "context", "window")}, None
+                cuts = batch.column("cuts")[i].as_py()
+                out, sums = {c: [] for c in ("h", "at", "size", "alone", "context", "window")}, None
 
                 def put(*values):
                     for column, value in zip(out.values(), values):
                         column.append(value)
 
                 for cut in cuts:
+                    length = cut["size"]
                     low, high = cut["at"], cut["at"] + cut["span"] + length
-                    if high > len(text):
-                        continue  # of another row with this id
                     if not cut["hot"]:
-                        put(cut["h"], page, low, cut["alone"], text[low:high].tobytes(), None)
+                        put(cut["h"], low, length, cut["alone"], text[low:high].tobytes(), None)
                         continue
                     sums = tb.prefix_hash(text) if sums is None else sums
                     start = np.arange(low, high - length + 1)
                     for at, window in zip(start.tolist(), tb.range_hash(sums, start, start + length).view(np.int64).tolist()):
-                        put(cut["h"], page, at, cut["alone"], None, window)
+                        put(cut["h"], at, length, cut["alone"], None, window)
+                ids = batch.column("id").take(pa.array(np.full(len(out["h"]), i)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["h"], pa.int64()), pa.array(out["id"], batch.column("id").type), pa.array(out["at"], pa.int64()),
-                     pa.array(out["alone"], pa.bool_()), pa.array(out["context"], pa.binary()), pa.array(out["window"], pa.int64())], names=list(out))
+                    [pa.array(out["h"], pa.int64()), ids, pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
+                     pa.array(out["alone"], pa.bool_()), pa.array(out["context"], pa.binary()), pa.array(out["window"], pa.int64())],
+                    names=["h", "id", *list(out)[1:]])
 
-    return joined.mapInArrow(run, f"h long, id {id_kind.simpleString()}, at long, alone boolean, context binary, window long")
+    return joined.mapInArrow(run, f"h long, id {id_kind.simpleString()}, at long, size int, alone boolean, context binary, window long")
 
 
-def _match_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """(id, low, high, earlier): repeated strings in contexts, whole groups per chunk."""
+def _match_groups(contexts: DataFrame) -> DataFrame:
+    """(id, low, high, size, earlier): repeated strings in contexts, whole groups of one length per chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
+            length = held[0]["size"]
             found = match_contexts(held, length)
             return pa.RecordBatch.from_arrays(
                 [pa.array([held[f[0]]["id"] for f in found], kind), pa.array([held[f[0]]["at"] + f[1] for f in found], pa.int64()),
-                 pa.array([held[f[0]]["at"] + f[2] + length for f in found], pa.int64()), pa.array([f[3] for f in found], pa.bool_())],
-                names=["id", "low", "high", "earlier"])
+                 pa.array([held[f[0]]["at"] + f[2] + length for f in found], pa.int64()),
+                 pa.array([length] * len(found), pa.int32()), pa.array([f[3] for f in found], pa.bool_())],
+                names=["id", "low", "high", "size", "earlier"])
 
         for batch in batches:
             kind = batch.column("id").type
             for row in batch.to_pylist():
-                if held and size > CHUNK_BYTES and row["h"] != held[-1]["h"]:
+                if held and row["h"] != held[-1]["h"] and (size > CHUNK_BYTES or row["size"] != held[-1]["size"]):
                     yield flush()
                     held, size = [], 0
                 held.append(row)
@@ -225,80 +235,93 @@ def _match_groups(contexts: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.select("h", "id", "at", "context").repartition(parts, "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, f"id {contexts.schema['id'].dataType.simpleString()}, low long, high long, earlier boolean")
+    dealt = contexts.select("h", "id", "at", "size", "context").repartition(parts, "h").sortWithinPartitions("size", "h")
+    return dealt.mapInArrow(run, f"id {contexts.schema['id'].dataType.simpleString()}, low long, high long, size int, earlier boolean")
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", max_classes: int = MAX_CLASSES) -> DataFrame:
-    """(id, low, high): byte ranges to remove from documents (id, body); they may overlap."""
-    anchors = materialize(find_anchors(documents, length, gram), "anchors")
+def repeated_spans(documents: DataFrame, lengths: Sequence[tuple[int, int]] = ((LENGTH, GRAM),), keep: str = "none",
+                   max_classes: int = MAX_CLASSES) -> DataFrame:
+    """(id, low, high, size): byte ranges to remove from documents (id, body) for each (length, gram); they may overlap."""
+    anchors = materialize(find_anchors(documents, lengths), "anchors")
     groups = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
     # Written first: a join between plain shuffles is one whose hot partitions can be split.
     groups = materialize(groups.where("n > 1").select("h", (F.col("least") != F.col("most")).alias("differs")), "groups")
     members = materialize(anchors.join(groups, "h"), "members")
-    classes = members.groupBy("h", "ctx", "differs").agg(
+    classes = members.groupBy("h", "ctx", "differs", "size").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.first("span").alias("span"))
-    classes = materialize(classes.select("h", "ctx", "differs", "n", "first.id", "first.at", "span"), "classes")
+    classes = materialize(classes.select("h", "ctx", "differs", "size", "n", "first.id", "first.at", "span"), "classes")
     mixed = classes.where("differs")
     hot = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_classes).select("h", F.lit(True).alias("hot"))
-    reps = mixed.join(hot, "h", "left").select("h", "id", "at", "span", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    contexts = materialize(_cut_contexts(reps, documents, length), "contexts")
-    matched = _match_groups(contexts.where("context is not null"), length)
+    reps = mixed.join(hot, "h", "left").select("h", "id", "at", "span", "size", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    contexts = materialize(_cut_contexts(reps, documents), "contexts")
+    matched = _match_groups(contexts.where("context is not null"))
     windows = contexts.where("window is not null")
     known = windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("f"))
     known = materialize(known.where("n > 1").select("h", "window", F.col("f.id").alias("first"), F.col("f.at").alias("first_at")), "known")
     again = windows.join(known, ["h", "window"]).withColumn(
         "earlier", ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("at") == F.col("first_at"))))
-    again = again.select("id", F.col("at").alias("low"), (F.col("at") + length).alias("high"), "earlier")
+    again = again.select("id", F.col("at").alias("low"), (F.col("at") + F.col("size")).alias("high"), "size", "earlier")
     several = classes.where("n > 1").select("h", "ctx", F.col("id").alias("first"), F.col("at").alias("first_at"))
     # Members of a class of several repeat as a whole; only the first has no earlier copy here.
     whole = members.join(several, ["h", "ctx"]).select(
-        "id", F.col("at").alias("low"), (F.col("at") + F.col("span") + length).alias("high"),
+        "id", F.col("at").alias("low"), (F.col("at") + F.col("span") + F.col("size")).alias("high"), "size",
         (~(F.col("id").eqNullSafe(F.col("first")) & (F.col("at") == F.col("first_at")))).alias("earlier"))
     found = matched.unionByName(again).unionByName(whole)
     if keep == "first":
         found = found.where("earlier")
     elif keep != "none":
         raise ValueError("keep must be first or none")
-    return found.select("id", "low", "high")
+    return found.select("id", "low", "high", "size")
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None,
-                   keep: str = "none", max_classes: int = MAX_CLASSES) -> DataFrame:
-    """Id, byte size, bytes and maximal runs removed, remaining bytes, and the removed runs."""
-    if length < 16:
+                   keep: str = "none", max_classes: int = MAX_CLASSES, also: Sequence[int] = ()) -> DataFrame:
+    """Id, byte size, bytes and maximal runs removed, remaining bytes, and the removed runs.
+
+    ``also`` names further lengths: ``n_also`` has the bytes that strings of each
+    of them would remove, which are not removed.
+    """
+    if min(length, *also, length) < 16:
         raise ValueError("length must be 16 or more")
-    gram = gram or max(8, length * GRAM // LENGTH)
-    picked = documents.select(F.col(id_column).alias("id"), F.col(text).cast("binary").alias("body"))
-    spans = repeated_spans(picked, length, gram, keep, max_classes)
-    per_doc = spans.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    joined = picked.alias("d").join(per_doc.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id")), "left").select("d.id", "body", "spans")
+    lengths = [(length, gram or max(8, length * GRAM // LENGTH)), *[(n, max(8, n * GRAM // LENGTH)) for n in also if n != length]]
+    # Never null, also where its parts are; ordered by id first.
+    key = F.struct(F.col(id_column).alias("own"), F.xxhash64(text).alias("body_hash"))
+    picked = documents.select(key.alias("id"), F.col(text).cast("binary").alias("body"))
+    spans = repeated_spans(picked, lengths, keep, max_classes)
+    per_doc = spans.groupBy("id").agg(F.collect_set(F.struct("low", "high", "size")).alias("spans"))
+    joined = picked.join(per_doc, "id", "left").select("id", "body", "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column("body"))
             spans_of = batch.column("spans")
-            kept, removed, runs = [], [], []
+            kept, removed, runs, others = [], [], [], []
             for i in range(batch.num_rows):
                 text = data[offsets[i]:offsets[i + 1]]
                 mine = spans_of[i]
                 if not mine.is_valid:
-                    kept.append(text.tobytes()), removed.append(0), runs.append([])
+                    kept.append(text.tobytes()), removed.append(0), runs.append([]), others.append([0] * len(also))
                     continue
-                low, high = np.asarray(mine.values.field("low")), np.asarray(mine.values.field("high"))
-                edges = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edges, np.minimum(low, len(text)), 1)
-                np.add.at(edges, np.minimum(high, len(text)), -1)
-                gone = np.cumsum(edges[:-1]) > 0
+                low, high, size = (np.asarray(mine.values.field(c)) for c in ("low", "high", "size"))
+
+                def within(wanted: int) -> np.ndarray:
+                    edges = np.zeros(len(text) + 1, np.int32)
+                    np.add.at(edges, low[size == wanted], 1)
+                    np.add.at(edges, high[size == wanted], -1)
+                    return np.cumsum(edges[:-1]) > 0
+
+                gone = within(length)
+                others.append([int(within(n).sum()) for n in also])
                 kept.append(text[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 flips = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 runs.append([{"start": int(a), "end": int(b)} for a, b in flips.reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()),
-                 pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["id", "n_bytes", "n_removed", "kept", "removed"])
+                 pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(others, pa.list_(pa.int64()))],
+                names=["id", "n_bytes", "n_removed", "kept", "removed", "n_also"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(clean, f"id {kind}, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>") \
-        .withColumnRenamed("id", id_column)
+    found = joined.mapInArrow(
+        clean, f"id {kind}, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>, n_also array<long>")
+    return found.select(F.col("id.own").alias(id_column), "n_bytes", "n_removed", "kept", "removed", "n_also")

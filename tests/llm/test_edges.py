@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabveil.llm import catalog, mixing, sentence_spans, toxicity, url_rules, warc_zip
+from tabveil.llm import catalog, mixing, sentence_spans, suffix_dedup, toxicity, url_rules, warc_zip
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -163,3 +163,23 @@ def test_mixture_of_odd_rows(spark):
     assert {(r["doc_id"], r["n_tokens"]) for r in mixed.collect()} <= {(None, 2), (3, 60_000), (3, 1)}
     with pytest.raises(ValueError):
         mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), budget_ratio=3.0, max_epochs=2.0)
+
+
+def test_shared_and_missing_ids_keep_their_own_bytes(spark):
+    draw = random.Random(11)
+    fresh = lambda n: "".join(draw.choice("abcdefghij klmnop") for _ in range(n))
+    passage, short = fresh(450), fresh(260)
+    texts = [(3, fresh(700) + passage), (3, fresh(900)), (None, passage + fresh(50)), (None, fresh(800)), (4, "é" + short + fresh(90)),
+             (5, fresh(30) + short), (6, None), (6, ""), (None, None), (7, fresh(420)), (7, None)]
+    texts[10] = (7, texts[9][1])  # a repeated row
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in texts], "doc_id long, text string, h string, size int, at int")
+    found = suffix_dedup.remove_repeats(docs, also=(200,)).collect()
+    plain = {n: [(texts[r[0]][0], *r[1:]) for r in brute.op1([(i, t) for i, (_, t) in enumerate(texts)], n)] for n in (400, 200)}
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), brute.sha(bytes(r["kept"])), r["n_also"][0]) for r in found)
+    assert got == Counter((*a, b[2]) for a, b in zip(plain[400], plain[200]))
+
+
+def test_shorter_repeats_of_the_small_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    found = catalog.op1_suffix_dedup(spark, SMALL).select("doc_id", "n_repeated_200").collect()
+    assert Counter(map(tuple, found)) == Counter((r[0], r[2]) for r in brute.op1(rows, 200))
