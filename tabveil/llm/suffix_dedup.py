@@ -172,40 +172,79 @@ def match_contexts(rows: list[dict], length: int) -> list[tuple[int, int, int, b
 
 
 def _cut_contexts(reps: DataFrame, documents: DataFrame) -> DataFrame:
-    """Contexts of representatives, or the window hashes of those in hot groups, cut out of the texts."""
-    id_kind = documents.schema["id"].dataType
-    wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "at", "span", "size", "alone", "hot")).alias("cuts"))
+    """Contexts of representatives, or the windows of those in hot groups, cut out of the texts.
+
+    Equal windows of a batch of texts become one row with the lists of their places,
+    so a passage that very many texts quote is few rows before it moves.
+    """
+    id_kind = documents.schema["id"].dataType.simpleString()
+    wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "at", "span", "size", "hot")).alias("cuts"))
     joined = documents.join(wanted, "id").select("id", "body", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("id")
             data, offsets = tb.column_bytes(batch.column("body"))
+            rows, out, parts = [], {c: [] for c in ("h", "at", "size", "context")}, []
             for i in range(batch.num_rows):
-                text = data[offsets[i]:offsets[i + 1]]
-                cuts = batch.column("cuts")[i].as_py()
-                out, sums = {c: [] for c in ("h", "at", "size", "alone", "context", "window")}, None
-
-                def put(*values):
-                    for column, value in zip(out.values(), values):
-                        column.append(value)
-
-                for cut in cuts:
+                text, sums = data[offsets[i]:offsets[i + 1]], None
+                for cut in batch.column("cuts")[i].as_py():
                     length = cut["size"]
                     low, high = cut["at"], cut["at"] + cut["span"] + length
                     if not cut["hot"]:
-                        put(cut["h"], low, length, cut["alone"], text[low:high].tobytes(), None)
+                        rows.append(i)
+                        for column, value in zip(out.values(), (cut["h"], low, length, text[low:high].tobytes())):
+                            column.append(value)
                         continue
                     sums = tb.prefix_hash(text) if sums is None else sums
                     start = np.arange(low, high - length + 1)
-                    for at, window in zip(start.tolist(), tb.range_hash(sums, start, start + length).view(np.int64).tolist()):
-                        put(cut["h"], at, length, cut["alone"], None, window)
-                ids = batch.column("id").take(pa.array(np.full(len(out["h"]), i)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["h"], pa.int64()), ids, pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
-                     pa.array(out["alone"], pa.bool_()), pa.array(out["context"], pa.binary()), pa.array(out["window"], pa.int64())],
-                    names=["h", "id", *list(out)[1:]])
+                    windows = tb.range_hash(sums, start, start + length).view(np.int64)
+                    parts.append((np.full(len(start), cut["h"]), windows, np.full(len(start), i), start, np.full(len(start), length)))
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["h"], pa.int64()), ids.take(pa.array(rows, pa.int64())), pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
+                 pa.array(out["context"], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(ids.type)), pa.nulls(n, pa.list_(pa.int64()))],
+                names=["h", "id", "at", "size", "context", "window", "ids", "ats"])
+            if parts:
+                yield _window_rows(ids, *(np.concatenate(c) for c in zip(*parts)))
+
+    return joined.mapInArrow(
+        run, f"h long, id {id_kind}, at long, size int, context binary, window long, ids array<{id_kind}>, ats array<long>")
+
+
+def _window_rows(ids: pa.Array, h: np.ndarray, window: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """One row for each different window: its first place, and the lists of all places."""
+    used = np.unique(row)
+    by_id = sorted(used.tolist(), key=lambda i: (ids[i]["own"].is_valid, *ids[i].as_py().values()))
+    standing = np.empty(len(ids), np.int64)
+    standing[by_id] = np.arange(len(by_id))
+    order = np.lexsort((at, standing[row], window, h))
+    h, window, row, at, size = h[order], window[order], row[order], at[order], size[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (window[1:] != window[:-1])]))
+    edges = pa.array(np.append(first, len(h)), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h[first]), ids.take(pa.array(row[first])), pa.array(at[first]), pa.array(size[first], pa.int32()), pa.nulls(len(first), pa.binary()),
+         pa.array(window[first]), pa.ListArray.from_arrays(edges, ids.take(pa.array(row))), pa.ListArray.from_arrays(edges, pa.array(at))],
+        names=["h", "id", "at", "size", "context", "window", "ids", "ats"])
+
+
+def _places(again: DataFrame) -> DataFrame:
+    """(id, low, high, size, earlier): the listed places of windows that repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.diff(np.asarray(batch.column("ats").offsets))
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            low = np.asarray(batch.column("ats").flatten())
+            size = np.asarray(batch.column("size"))[row]
+            leading = np.zeros(len(row), bool)
+            leading[np.cumsum(counts) - counts] = True  # places are in order, so only a row's first can be the first of all
+            earlier = ~(leading & np.asarray(batch.column("leads"))[row])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ids").flatten(), pa.array(low), pa.array(low + size), pa.array(size, pa.int32()), pa.array(earlier)],
+                names=["id", "low", "high", "size", "earlier"])
 
-    return joined.mapInArrow(run, f"h long, id {id_kind.simpleString()}, at long, size int, alone boolean, context binary, window long")
+    return again.mapInArrow(run, f"id {again.schema['ids'].dataType.elementType.simpleString()}, low long, high long, size int, earlier boolean")
 
 
 def _match_groups(contexts: DataFrame) -> DataFrame:
@@ -252,15 +291,14 @@ def repeated_spans(documents: DataFrame, lengths: Sequence[tuple[int, int]] = ((
     classes = materialize(classes.select("h", "ctx", "differs", "size", "n", "first.id", "first.at", "span"), "classes")
     mixed = classes.where("differs")
     hot = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_classes).select("h", F.lit(True).alias("hot"))
-    reps = mixed.join(hot, "h", "left").select("h", "id", "at", "span", "size", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    reps = mixed.join(hot, "h", "left").select("h", "id", "at", "span", "size", F.coalesce("hot", F.lit(False)).alias("hot"))
     contexts = materialize(_cut_contexts(reps, documents), "contexts")
     matched = _match_groups(contexts.where("context is not null"))
     windows = contexts.where("window is not null")
-    known = windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("f"))
-    known = materialize(known.where("n > 1").select("h", "window", F.col("f.id").alias("first"), F.col("f.at").alias("first_at")), "known")
-    again = windows.join(known, ["h", "window"]).withColumn(
-        "earlier", ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("at") == F.col("first_at"))))
-    again = again.select("id", F.col("at").alias("low"), (F.col("at") + F.col("size")).alias("high"), "size", "earlier")
+    known = windows.groupBy("h", "window").agg(F.sum(F.size("ats")).alias("n"), F.min(F.struct("id", "at")).alias("f"))
+    known = materialize(known.where("n > 1").select("h", "window", "f"), "known")
+    leads = F.struct("id", "at") == F.col("f")
+    again = _places(windows.join(known, ["h", "window"]).select("ids", "ats", "size", leads.alias("leads")))
     several = classes.where("n > 1").select("h", "ctx", F.col("id").alias("first"), F.col("at").alias("first_at"))
     # Members of a class of several repeat as a whole; only the first has no earlier copy here.
     whole = members.join(several, ["h", "ctx"]).select(

@@ -183,3 +183,16 @@ def test_shorter_repeats_of_the_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     found = catalog.op1_suffix_dedup(spark, SMALL).select("doc_id", "n_repeated_200").collect()
     assert Counter(map(tuple, found)) == Counter((r[0], r[2]) for r in brute.op1(rows, 200))
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_groups_of_windows(spark, keep):
+    """Quotes in ever different surroundings, settled window by window, agree with the plain version."""
+    draw = random.Random(13)
+    fresh = lambda n: "".join(draw.choice("abcdefghij klmnop") for _ in range(n))
+    passage = fresh(90)
+    rows = [(i, fresh(40) + passage[:draw.randrange(60, 91)] + fresh(40)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(docs, length=48, keep=keep, max_classes=3).collect()
+    assert Counter((r["doc_id"], r["n_removed"], brute.sha(bytes(r["kept"]))) for r in found) == Counter(
+        (r[0], r[2], r[4]) for r in brute.op1(rows, 48, first=keep == "first"))
