@@ -45,7 +45,8 @@ def op4_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_boost.find(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {i})) AS long)").alias(f"n_{k}") for i, k in enumerate(pii_boost.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii_boost.listed("base").cast("binary"), 256).alias("base_sha256"),
-                        pii_boost.listed("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))
+                        pii_boost.listed("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"),
+                        (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
