@@ -14,22 +14,33 @@ group: the column set, the signs and the texts.
   only in the one slice rows are compared with the conjunction itself.
 
 Sorting is by ranges, so neither a group nor a slice is one task.
+
+Beforehand rows that no conjunction of their group can count are left out, where
+the conjunctions are few enough to be shown to every task. And of conjunctions that
+rows propose, one that only its own row satisfies lies above no other row: rows that
+lie above another are left out batch by batch, until few are left to be counted.
+Both only leave out what cannot matter, so counts stay exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabveil.functions import text as texts
-from tabveil.session import materialize
+from tabveil.session import BROADCAST_BYTES, BROADCAST_ROWS, materialize
 
 SLABS = 16
+PIVOTS = 64  # rows of a group and batch that others are held against
+CORNERS = 256  # boxes per group that rows are held against
+SETTLED = 10_000  # so few rows are not worth another round
 PLACE_BITS = 33  # monotonically_increasing_id: the row's number within its partition
 
 
@@ -47,20 +58,146 @@ def _group(number: int, signs: Sequence[int], columns: Sequence[str]) -> Column:
 
 
 def _rows(df: DataFrame, sets: Sequence[ColumnSet], q: int) -> DataFrame:
-    """g, ys and w of all rows under every set of q numeric columns and all signs.
+    """g and ys of every row under every set of q numeric columns and all signs.
     A row with a null in one of them satisfies no range and is left out."""
-    out = None
+    each = []
     for number, s in enumerate(sets):
         if len(s.numeric) != q:
             continue
+        known = F.lit(True)
+        for c in s.numeric:
+            known = known & F.col(c).isNotNull()
         for signs in product((1, -1), repeat=q):
             ys = F.array(*[F.col(c).cast("double") * sign for c, sign in zip(s.numeric, signs)]).cast("array<double>")
-            known = F.lit(True)
-            for c in s.numeric:
-                known = known & F.col(c).isNotNull()
-            part = df.filter(known).select(_group(number, signs, s.text).alias("g"), ys.alias("ys"))
-            out = part if out is None else out.unionByName(part)
-    return out.groupBy("g", "ys").agg(F.count("*").alias("w"))
+            each.append(F.when(known, F.struct(_group(number, signs, s.text).alias("g"), ys.alias("ys"))))
+    return df.select(F.explode(F.array(*each)).alias("row")).filter("row IS NOT NULL").select("row.g", "row.ys")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """Rows (g, ys) or (g, ys, w) as distinct ones with their number."""
+    return rows.groupBy("g", "ys").agg((F.sum("w") if "w" in rows.columns else F.count("*")).alias("w"))
+
+
+def _matrix(column: pa.Array, q: int) -> np.ndarray:
+    """A list column of q numbers as a matrix; NaN, the largest number, as infinite."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), q)
+    return np.where(np.isnan(flat), np.inf, flat)
+
+
+def _members(codes: np.ndarray) -> list[np.ndarray]:
+    """The places of each code."""
+    order = np.argsort(codes, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []
+
+
+def _not_above(ys: np.ndarray) -> np.ndarray:
+    """False for rows that lie above another one, as far as the pivots tell; equal rows stay."""
+    left = np.arange(len(ys))
+    spread = np.ptp(np.where(np.isinf(ys), 0.0, ys), axis=0)
+    height = (ys / np.where(spread > 0, spread, 1.0)).sum(axis=1)
+    tried = (ys == np.inf).any(axis=1)  # such a number may stand for NaN, which is not below infinity
+    for _ in range(PIVOTS):
+        waiting = left[~tried[left]]
+        if len(waiting) == 0 or len(left) < 2:
+            break
+        pivot = ys[waiting[np.argmin(height[waiting])]]
+        near = ys[left]
+        equal = (near == pivot).all(axis=1)
+        tried[left[equal]] = True
+        tried[waiting[np.argmin(height[waiting])]] = True
+        left = left[equal | ~(near >= pivot).all(axis=1)]
+    stays = np.zeros(len(ys), dtype=bool)
+    stays[left] = True
+    return stays
+
+
+def _thinned(rows: DataFrame, q: int) -> DataFrame:
+    """Rows without those that lie above another one of their group in the same batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys, stays = _matrix(batch.column("ys"), q), np.ones(batch.num_rows, dtype=bool)
+            for places in _members(batch.column("name").dictionary_encode().indices.to_numpy()):
+                if len(places) > 1:
+                    stays[places] = _not_above(ys[places])
+            yield batch.filter(pa.array(stays)).drop_columns(["name"])
+
+    return rows.withColumn("name", F.to_json("g")).mapInArrow(run, rows.schema)
+
+
+def _lowest(rows: DataFrame, q: int) -> DataFrame:
+    """Rows (g, ys) as (g, ys, w), without most that lie above another one of their
+    group. None that lies above no other is left out, nor its number changed."""
+    left, n = None, None
+    while True:
+        left = _summed(_thinned(rows if left is None else left.sortWithinPartitions("g"), q))
+        left = materialize(left, "lowest")
+        before, n = n, left.count()
+        if n <= SETTLED or before is not None and 2 * n > before:
+            return left
+
+
+def once_satisfied(df: DataFrame, wanted: DataFrame, sets: Sequence[ColumnSet]) -> DataFrame:
+    """(pid): the conjunctions that exactly one row satisfies; every row of
+    ``wanted`` (pid, set_no, g, vs) must be proposed by a row of ``df``."""
+    found = None
+    for q in sorted({len(s.numeric) for s in sets}):
+        mine = _of_width(wanted, sets, q)
+        if q:
+            rows = _lowest(_rows(df, sets, q), q)
+            alone = rows.filter("w = 1").select("g", F.col("ys").alias("vs"))
+            mine = materialize(mine.join(alone, ["g", "vs"], "left_semi"), "lowest")
+        else:
+            rows = _summed(_rows(df, sets, q))
+        part = _counted(rows, mine, q).groupBy("pid").agg(F.sum("n").alias("n")).filter("n = 1").select("pid")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _of_width(wanted: DataFrame, sets: Sequence[ColumnSet], q: int) -> DataFrame:
+    numbers = [i for i, s in enumerate(sets) if len(s.numeric) == q]
+    return wanted.filter(F.col("set_no").isin(numbers)).select("pid", "g", "vs")
+
+
+def _corners(vs: np.ndarray) -> np.ndarray:
+    """At most CORNERS bounds such that what is below a row of ``vs`` is below one of them."""
+    vs, boxes = np.unique(vs, axis=0), []
+    waiting = [(vs, CORNERS)]
+    while waiting:
+        part, room = waiting.pop()
+        if len(part) <= room:
+            boxes.append(part)
+        elif room == 1:
+            boxes.append(part.max(axis=0, keepdims=True))
+        else:
+            widest = np.argmax([len(np.unique(part[:, i])) for i in range(part.shape[1])])
+            part = part[np.argsort(part[:, widest], kind="stable")]
+            waiting += [(part[: len(part) // 2], room // 2), (part[len(part) // 2:], room - room // 2)]
+    return np.concatenate(boxes)
+
+
+def _within_reach(rows: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
+    """Rows that some conjunction may count; all rows where there are too many conjunctions."""
+    asked = wanted.select(F.xxhash64("g").alias("h"), "vs").limit(BROADCAST_ROWS + 1).toArrow()
+    if asked.num_rows > BROADCAST_ROWS or asked.nbytes > BROADCAST_BYTES:
+        return rows
+    if not asked.num_rows:
+        return rows.limit(0)
+    asked = asked.combine_chunks()
+    hashes, vs = asked.column("h").to_numpy(), _matrix(asked.column("vs").combine_chunks(), q)
+    # Groups of one hash share their boxes, which only lets more rows in.
+    bounds = {int(hashes[places[0]]): _corners(vs[places]) if q else vs[places[:1]] for places in _members(hashes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys, stays = _matrix(batch.column("ys"), q), np.zeros(batch.num_rows, dtype=bool)
+            hashes = batch.column("h").to_numpy()
+            for places in _members(hashes):
+                for bound in bounds.get(int(hashes[places[0]]), ()):
+                    stays[places] |= (ys[places] <= bound).all(axis=1)
+            yield batch.filter(pa.array(stays)).drop_columns(["h"])
+
+    return rows.withColumn("h", F.xxhash64("g")).mapInArrow(run, rows.schema)
 
 
 def proposed(df: DataFrame, sets: Sequence[ColumnSet], medians: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
@@ -139,9 +276,9 @@ def count_conjunctions(df: DataFrame, wanted: DataFrame, sets: Sequence[ColumnSe
     set_no, g and vs as ``proposed`` makes them."""
     parts = None
     for q in sorted({len(s.numeric) for s in sets}):
-        numbers = [i for i, s in enumerate(sets) if len(s.numeric) == q]
-        mine = wanted.filter(F.col("set_no").isin(numbers)).select("pid", "g", "vs")
-        part = _counted(_rows(df, sets, q), mine, q).select("pid", F.col("n").cast("long").alias("n"))
+        mine = _of_width(wanted, sets, q)
+        rows = _summed(_within_reach(_rows(df, sets, q), mine, q))
+        part = _counted(rows, mine, q).select("pid", F.col("n").cast("long").alias("n"))
         parts = part if parts is None else parts.unionByName(part)
     found = parts.groupBy("pid").agg(F.sum("n").alias("n"))
     return wanted.select("pid").join(found, "pid", "left").select("pid", F.coalesce("n", F.lit(0)).alias("hits"))

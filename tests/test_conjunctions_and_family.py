@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabveil.operators import risk
-from tabveil.operators.conjunctions import ColumnSet, count_conjunctions, proposed
+from tabveil.operators import conjunctions, risk
+from tabveil.operators.conjunctions import ColumnSet, count_conjunctions, once_satisfied, proposed
 from tabveil.sources.commits import EpsilonStore
 
 SETS = [ColumnSet(("t",), ()), ColumnSet(("t",), ("x",)), ColumnSet((), ("x", "y")), ColumnSet(("t", "s"), ("x", "y", "z")), ColumnSet((), ("z",))]
@@ -88,3 +88,24 @@ def test_a_store_without_copies(spark, people, tmp_path):
     store = EpsilonStore(spark, str(tmp_path / "none"))
     rows = risk.audit_store(people, store, [1.0], ["p", "q", "r"], ["p", "q"], ["p"], ["q"], "secret").collect()
     assert {r["status"] for r in rows} == {"missing"} and {r["n"] for r in rows} == {None}
+
+
+def test_conjunctions_of_one_row_against_every_row(spark):
+    rows = [*_table(6, 700), *_table(7, 60), *_table(7, 60)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(-1, "b", "p", float("nan"), 8, 999), (-2, "b", "q", -0.0, 0, 0), (-3, "b", "q", 0.0, 0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    wanted = proposed(df, SETS, {"x": 25.0, "y": 4.0, "z": 500.0}).distinct().withColumn("pid", F.monotonically_increasing_id()).localCheckpoint()
+    counts = {r["pid"]: r["hits"] for r in count_conjunctions(df, wanted, SETS).collect()}
+    found = {r["pid"] for r in once_satisfied(df, wanted, SETS).collect()}
+    assert found == {pid for pid, hits in counts.items() if hits == 1} and len(found) > 20
+
+
+def test_few_rows_are_left_to_be_counted(spark):
+    """Of 40,000 rows with two numbers next to none can be alone under its bounds."""
+    df = spark.range(40_000, numPartitions=4).select(F.rand(1).alias("x"), F.rand(2).alias("y"))
+    sets = [ColumnSet((), ("x", "y"))]
+    rows = conjunctions._rows(df, sets, 2)
+    lowest = conjunctions._lowest(rows, 2)
+    assert lowest.count() < 1_000
+    asks = lowest.filter("w = 1").select(F.monotonically_increasing_id().alias("pid"), "g", F.col("ys").alias("vs"))
+    assert conjunctions._within_reach(rows, asks, 2).count() < 4_000
