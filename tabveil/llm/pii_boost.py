@@ -13,9 +13,9 @@ overlapping candidates the best stays.
 
 Everything on rows is SQL expressions: the trees become CASE expressions over a
 document's array of candidates, so no row is shuffled. Overlaps are looked up
-behind fences, runs of FENCE sorted spans. The fit takes at most FIT_ROWS documents
-with a digit or a long word, the smallest by a hash of id and text; where that hash
-is cut is found by counting.
+behind fences, runs of FENCE sorted spans. The fit and the thresholds take the candidates
+of all documents, half each by a hash of id and text; equal candidates are
+counted and weigh as much.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans.
 Very long texts are judged whole. Ties go to the earlier start, then the earlier
@@ -35,7 +35,6 @@ from pyspark.sql.window import Window
 
 from tabveil.session import materialize
 
-FIT_ROWS = 20_000
 TREES, DEPTH = 15, 3
 PRECISION = 0.95
 MIN_SUPPORT = 20
@@ -238,23 +237,25 @@ def smallest(places: DataFrame, n: int) -> Column:
             return F.shiftrightunsigned(F.col("place"), 64 - bits) < cut
 
 
-def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION, trees: int = TREES, depth: int = DEPTH) -> Judge:
-    """Fit and calibrate on documents (id, body): at most ``fit_rows`` of those with a digit or a long word."""
+def fit(documents: DataFrame, precision: float = PRECISION, trees: int = TREES, depth: int = DEPTH) -> Judge:
+    """Fit and calibrate on the candidates of all documents (id, body)."""
     placed = documents.where(F.expr("body RLIKE '[0-9]|[A-Za-z0-9_+/-]{16}'")).select("body", F.xxhash64("id", "body").alias("place"))
-    drawn = placed.where(smallest(placed.select("place"), fit_rows)).withColumn("base", F.expr(sorted_spans(base_spans())))
-    drawn = drawn.withColumn("proposed", F.expr(candidates(labelled=True))).withColumn("free", F.expr(apart("proposed", "base")))
-    rows = materialize(drawn.select(F.pmod("place", F.lit(2)).alias("half"), F.explode_outer("free").alias("c")).where("c IS NOT NULL").select("half", "c.*"), "candidates")
+    found = placed.withColumn("base", F.expr(sorted_spans(base_spans())))
+    found = found.withColumn("proposed", F.expr(candidates(labelled=True))).withColumn("free", F.expr(apart("proposed", "base")))
+    found = found.select(F.pmod("place", F.lit(2)).alias("half"), F.explode_outer("free").alias("c")).where("c IS NOT NULL")
+    alike = found.select("half", "c.kind", *[f"c.{f}" for f in FEATURES], "c.label").groupBy("half", "kind", *FEATURES, "label")
+    rows = materialize(alike.agg(F.count(F.lit(1)).cast("double").alias("weight")), "candidates")
     seen = {(r["half"], r["label"]) for r in rows.groupBy("half", "label").count().collect()}
     if not {(0, 0.0), (0, 1.0), (1, 1.0)} <= seen:
         return Judge(None, {})
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.where("half = 0"))
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=1, stepSize=0.3).fit(vectors)
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=1, stepSize=0.3).fit(vectors)
     weights = list(model.treeWeights)
     sql = " + ".join(f"{double(w)} * ({_tree_sql(t._java_obj.rootNode())})" for w, t in zip(weights, model.trees))
-    held = rows.where("half = 1").select("kind", F.struct(*FEATURES).alias("c"), "label").withColumn("score", F.expr(sql))
+    held = rows.where("half = 1").select("kind", F.struct(*FEATURES).alias("c"), "label", "weight").withColumn("score", F.expr(sql))
     # At most as many groups as the trees have distinct sums.
     down = Window.partitionBy("kind").orderBy(F.desc("score"))
-    steps = held.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    steps = held.groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n"))
     steps = steps.withColumns({"good": F.sum("good").over(down), "n": F.sum("n").over(down)})
     least = steps.where((F.col("good") >= precision * F.col("n")) & (F.col("n") >= MIN_SUPPORT)).groupBy("kind").agg(F.min("score").alias("least"))
     return Judge(sql, {r["kind"]: r["least"] for r in least.collect()})
@@ -286,17 +287,17 @@ def listed(spans: str) -> Column:
     return F.expr(f"array_join(transform({by_kind}, s -> concat_ws(':', element_at({names}, s.kind + 1), s.start, s.stop)), ',')")
 
 
-def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Id, text, base spans and added spans of every document."""
     docs = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    return with_spans(docs, fit(docs, fit_rows)).withColumnsRenamed({"id": id_column, "body": text})
+    return with_spans(docs, fit(docs)).withColumnsRenamed({"id": id_column, "body": text})
 
 
-def redact(documents: DataFrame, id_column: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def redact(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; a null text stays null."""
     docs = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("raw"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"),
                             *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(documents.columns)])
-    found = with_spans(docs, fit(docs.select("id", "body"), fit_rows))
+    found = with_spans(docs, fit(docs.select("id", "body")))
     marks = "array(" + ", ".join(f"'<{k.upper()}>'" for k in ALL_KINDS) + ")"
     ordered = sorted_spans("concat(base, added)")
     # A span that begins inside the one before only moves the end.

@@ -60,3 +60,14 @@ def test_the_smallest_by_counting(spark, n):
     places = spark.range(1000).select(F.xxhash64("id").alias("place"))
     kept = places.where(pii_boost.smallest(places, n)).count()
     assert kept <= n and kept >= min(n, 1000) // 2
+
+
+def test_fit_reads_the_candidates_of_all_documents(spark, monkeypatch):
+    """Every document gives a candidate to the fit or to the thresholds."""
+    seen = {}
+    keep = pii_boost.materialize
+    monkeypatch.setattr(pii_boost, "materialize", lambda df, label: seen.setdefault(label, keep(df, label)))
+    docs = spark.range(25_000).select("id", F.lit("token abcdefgh12345678").alias("body"))
+    pii_boost.fit(docs)
+    assert seen["candidates"].agg(F.sum("weight")).first()[0] == 25_000
+    assert not hasattr(pii_boost, "FIT_ROWS")
