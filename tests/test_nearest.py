@@ -101,3 +101,11 @@ def test_mixed_distance_of_an_empty_table(spark):
     some = spark.createDataFrame([(1, "a", 1.0)], "id long, t string, v double")
     assert nearest_mixed(some, empty, ["t"], ["v"], "id").collect() == []
     assert nearest_mixed(empty, some, ["t"], ["v"], "id").collect() == []
+
+
+def test_many_columns_broadcast_no_finds(spark):
+    """Small files may hold many rows, so what was found level by level meets the targets by sorting."""
+    columns = [f"c{i}" for i in range(9)]
+    table = spark.range(40).select("id", *[(F.col("id") % (i + 2)).cast("string").alias(c) for i, c in enumerate(columns)])
+    plan = neighbours.nearest(table, table, columns, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
