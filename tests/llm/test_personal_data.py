@@ -63,11 +63,11 @@ def test_the_smallest_by_counting(spark, n):
 
 
 def test_fit_reads_the_candidates_of_all_documents(spark, monkeypatch):
-    """Every document gives a candidate to the fit or to the thresholds."""
+    """Every document gives its one candidate to the fit or to the thresholds."""
     seen = {}
     keep = pii_boost.materialize
     monkeypatch.setattr(pii_boost, "materialize", lambda df, label: seen.setdefault(label, keep(df, label)))
-    docs = spark.range(25_000).select("id", F.lit("token abcdefgh12345678").alias("body"))
+    docs = spark.range(25_000).select("id", F.lit("token abcdefghijklmnopqrst").alias("body"))
     pii_boost.fit(docs)
     assert seen["candidates"].agg(F.sum("weight")).first()[0] == 25_000
     assert not hasattr(pii_boost, "FIT_ROWS")
