@@ -15,6 +15,8 @@ groups meet in bounded chunks, where a suffix array capped at ``length`` is
 built by doubling. Groups with more than MAX_CLASSES classes (a passage that a
 third of all documents quote, each in its own surroundings) are settled window by
 window in a map-side aggregation instead, so no group is ever held in one task.
+Successive windows that the same texts of a batch share are a run, whose places are
+listed once and come back as ranges.
 
 Contexts and hot windows are compared by 64-bit hashes within groups of equal
 64-bit anchor hashes, all else byte by byte. Several lengths are judged in one
@@ -33,6 +35,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +45,8 @@ from tabveil.session import materialize
 LENGTH = 400
 GRAM = 160
 MAX_CLASSES = 1_000
-CHUNK_BYTES = 4 << 20
+# Sorting so many bytes stays in a core's cache, and four of their ranks fit in one key.
+CHUNK_BYTES = 60_000
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -102,7 +106,10 @@ def find_anchors(documents: DataFrame, lengths: Sequence[tuple[int, int]]) -> Da
 
 
 def capped_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the strings of ``length`` bytes at ``starts``, by doubling; equal strings share one."""
+    """Ranks of the strings of ``length`` bytes at ``starts``; equal strings share one.
+
+    Each round ranks strings of as many times the bytes as ranks fit in a 64-bit key.
+    """
 
     def ranked(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
@@ -113,33 +120,34 @@ def capped_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
         return rank
 
     n = len(data)
-    wide = np.zeros(n + 8, np.uint64)
+    wide = np.zeros(n + length, np.uint64)
     wide[:n] = data
-    size = min(8, length)
-    packed = np.zeros(n, np.uint64)
-    for i in range(size):
-        packed = packed << np.uint64(8) | wide[i:i + n]
-    if size == length:
-        return ranked(packed[starts])
-    rank = ranked(packed)
-    while 2 * size < length:
-        behind = np.zeros(n, np.uint64)
-        behind[:max(0, n - size)] = rank[size:]
-        rank = ranked(rank << np.uint64(32) | behind)
-        size *= 2
-    return ranked(rank[starts] << np.uint64(32) | rank[starts + length - size])
-
-
-def neighbour_factors(rank: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and next factor of each suffix, capped at ``length``.
+    size, bits = 1, 8
+    while size < length:
+        times = min(64 // bits, -(-length // size))
+        reach = min(size * times, length)
+        # The last part may overlap the one before: strings equal up to there are so in the overlap, too.
+        parts = [min(i * size, reach - size) for i in range(times)]
+        keys = np.zeros(len(starts) if reach == length else n, np.uint64)
+        for part in parts:
+            keys = keys << np.uint64(bits) | (wide[starts + part] if reach == length else wide[part:part + n])
+        rank = ranked(keys)
+        if reach == length:
+            return rank
+        wide[:n], size, bits = rank, reach, n.bit_length()
+
+
+def neighbour_factors(rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and next factor of each of the suffixes, given in text order, capped at ``length``.
 
     Suffixes that agree up to the cap are ordered by position, so the previous
     smaller position of a suffix is its left neighbour in suffix order and the
     nearest larger one its right neighbour. A factor is ``length`` where the
     neighbour has the same capped string, otherwise it is shorter and reported as 0.
     """
-    order = np.lexsort((place, rank))
-    same = rank[order][1:] == rank[order][:-1]
+    ordered = np.sort(rank << np.uint64(32) | np.arange(len(rank), dtype=np.uint64))
+    order = (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same = ordered[1:] >> np.uint64(32) == ordered[:-1] >> np.uint64(32)
     previous, following = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
     previous[order[1:]] = np.where(same, length, 0)
     following[order[:-1]] = np.where(same, length, 0)
@@ -147,19 +155,15 @@ def neighbour_factors(rank: np.ndarray, place: np.ndarray, length: int) -> tuple
 
 
 def match_contexts(rows: list[dict], length: int) -> list[tuple[int, int, int, bool]]:
-    """(row, first window, last window, with an earlier match) of the repeated windows in a chunk of contexts."""
+    """(row, first window, last window, with an earlier match) of the repeated windows in a chunk of contexts in text order."""
     data = np.frombuffer(b"".join(r["context"] for r in rows), np.uint8)
     sizes = np.array([len(r["context"]) for r in rows])
     begin = np.cumsum(sizes) - sizes
     counts = sizes - length + 1
     owner = np.repeat(np.arange(len(rows)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    # Rows come in order of (id, at) within a chunk's groups, so this is text order.
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["id"]["own"] is not None, *rows[i]["id"].values(), rows[i]["at"]))
-    standing = np.empty(len(rows), np.int64)
-    standing[order] = np.arange(len(rows))
     rank = capped_ranks(data, begin[owner] + inside, length)
-    previous, following = neighbour_factors(rank, (standing[owner] << 32) + inside, length)
+    previous, following = neighbour_factors(rank, length)
     found = []
     for flags, earlier in ((previous >= length, True), (following >= length, False)):
         at = np.flatnonzero(flags)
@@ -174,14 +178,17 @@ def match_contexts(rows: list[dict], length: int) -> list[tuple[int, int, int, b
 def _cut_contexts(reps: DataFrame, documents: DataFrame) -> DataFrame:
     """Contexts of representatives, or the windows of those in hot groups, cut out of the texts.
 
-    Equal windows of a batch of texts become one row with the lists of their places,
-    so a passage that very many texts quote is few rows before it moves.
+    Equal windows of a batch of texts become one row, and each run of windows one row
+    with the lists of its places, so a passage that very many texts quote is few rows
+    before it moves.
     """
     id_kind = documents.schema["id"].dataType.simpleString()
     wanted = reps.groupBy("id").agg(F.collect_list(F.struct("h", "at", "span", "size", "hot")).alias("cuts"))
     joined = documents.join(wanted, "id").select("id", "body", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The table is written before it is read, so a repeated task cannot mix up the numbers of its runs.
+        run_no = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column("id")
             data, offsets = tb.column_bytes(batch.column("body"))
@@ -200,48 +207,107 @@ def _cut_contexts(reps: DataFrame, documents: DataFrame) -> DataFrame:
                     start = np.arange(low, high - length + 1)
                     windows = tb.range_hash(sums, start, start + length).view(np.int64)
                     parts.append((np.full(len(start), cut["h"]), windows, np.full(len(start), i), start, np.full(len(start), length)))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["h"], pa.int64()), ids.take(pa.array(rows, pa.int64())), pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
-                 pa.array(out["context"], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(ids.type)), pa.nulls(n, pa.list_(pa.int64()))],
-                names=["h", "id", "at", "size", "context", "window", "ids", "ats"])
+            yield _filled(
+                len(rows), ids.type, h=pa.array(out["h"], pa.int64()), id=ids.take(pa.array(rows, pa.int64())), at=pa.array(out["at"], pa.int64()),
+                size=pa.array(out["size"], pa.int32()), context=pa.array(out["context"], pa.binary()))
             if parts:
-                yield _window_rows(ids, *(np.concatenate(c) for c in zip(*parts)))
+                windows, runs = _window_rows(ids, run_no, *(np.concatenate(c) for c in zip(*parts)))
+                run_no += runs.num_rows
+                yield windows
+                yield runs
 
     return joined.mapInArrow(
-        run, f"h long, id {id_kind}, at long, size int, context binary, window long, ids array<{id_kind}>, ats array<long>")
+        run, f"h long, id {id_kind}, at long, size int, context binary, window long, n long, run long, step int, ids array<{id_kind}>, ats array<long>")
+
+
+def _filled(length: int, id_kind: pa.DataType, /, **columns: pa.Array) -> pa.RecordBatch:
+    """So many rows with some of the columns of cut contexts; the others are null."""
+    kinds = {"h": pa.int64(), "id": id_kind, "at": pa.int64(), "size": pa.int32(), "context": pa.binary(), "window": pa.int64(), "n": pa.int64(),
+             "run": pa.int64(), "step": pa.int32(), "ids": pa.list_(id_kind), "ats": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(length, kind) for c, kind in kinds.items()], names=list(kinds))
 
 
-def _window_rows(ids: pa.Array, h: np.ndarray, window: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """One row for each different window: its first place, and the lists of all places."""
+def _window_rows(ids: pa.Array, run_no: int, h: np.ndarray, window: np.ndarray, row: np.ndarray, at: np.ndarray,
+                 size: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """One row for each different window, with its first place, run and number in the run; one for each run, with its places.
+
+    A window is followed by another in its run if every place of the one is a byte
+    before a place of the other and the other has no more.
+    """
     used = np.unique(row)
     by_id = sorted(used.tolist(), key=lambda i: (ids[i]["own"].is_valid, *ids[i].as_py().values()))
     standing = np.empty(len(ids), np.int64)
     standing[by_id] = np.arange(len(by_id))
-    order = np.lexsort((at, standing[row], window, h))
+    order = np.lexsort((at, standing[row], h))
     h, window, row, at, size = h[order], window[order], row[order], at[order], size[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (window[1:] != window[:-1])]))
-    edges = pa.array(np.append(first, len(h)), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h[first]), ids.take(pa.array(row[first])), pa.array(at[first]), pa.array(size[first], pa.int32()), pa.nulls(len(first), pa.binary()),
-         pa.array(window[first]), pa.ListArray.from_arrays(edges, ids.take(pa.array(row))), pa.ListArray.from_arrays(edges, pa.array(at))],
-        names=["h", "id", "at", "size", "context", "window", "ids", "ats"])
+    m = len(h)
+    order = np.lexsort((window, h))  # stable, so places of a window stay in order
+    first = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (window[order][1:] != window[order][:-1])]))
+    counts = np.diff(np.append(first, m))
+    kind = np.empty(m, np.int64)
+    kind[order] = np.repeat(np.arange(len(first)), counts)
+    follows = np.full(m, -1)
+    follows[:-1] = np.where((h[1:] == h[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1), kind[1:], -1)
+    follows = follows[order]
+    after = follows[first]
+    linked = (np.minimum.reduceat(follows, first) == np.maximum.reduceat(follows, first)) & (after >= 0) & (counts[after] == counts)
+    # In the order of their first places, a window comes right behind the one it follows.
+    place = order[first]
+    in_text = np.argsort(place)
+    opens = np.concatenate([[True], ~linked[in_text[:-1]]])
+    run = np.empty(len(first), np.int64)
+    run[in_text] = np.cumsum(opens) - 1
+    starts = np.flatnonzero(opens)
+    step = np.empty(len(first), np.int64)
+    step[in_text] = np.arange(len(first)) - starts[run[in_text]]
+    windows = _filled(
+        len(first), ids.type, h=pa.array(h[place]), id=ids.take(pa.array(row[place])), at=pa.array(at[place]), size=pa.array(size[place], pa.int32()),
+        window=pa.array(window[place]), n=pa.array(counts), run=pa.array(run_no + run), step=pa.array(step, pa.int32()))
+    heads = in_text[starts]
+    edges = np.append(0, np.cumsum(counts[heads]))
+    listed = order[np.arange(edges[-1]) - np.repeat(edges[:-1] - first[heads], counts[heads])]
+    edges = pa.array(edges, pa.int32())
+    runs = _filled(
+        len(heads), ids.type, size=pa.array(size[place[heads]], pa.int32()), run=pa.array(run_no + np.arange(len(heads))),
+        ids=pa.ListArray.from_arrays(edges, ids.take(pa.array(row[listed]))), ats=pa.ListArray.from_arrays(edges, pa.array(at[listed])))
+    return windows, runs
 
 
 def _places(again: DataFrame) -> DataFrame:
-    """(id, low, high, size, earlier): the listed places of windows that repeat."""
+    """(id, low, high, size, earlier): the listed places of runs, as ranges of the windows that repeat.
+
+    Places are in order, so only a run's first can be the first of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.diff(np.asarray(batch.column("ats").offsets))
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            low = np.asarray(batch.column("ats").flatten())
-            size = np.asarray(batch.column("size"))[row]
-            leading = np.zeros(len(row), bool)
-            leading[np.cumsum(counts) - counts] = True  # places are in order, so only a row's first can be the first of all
-            earlier = ~(leading & np.asarray(batch.column("leads"))[row])
+            steps_of = batch.column("steps")
+            sizes, edges = np.asarray(batch.column("size")), np.asarray(batch.column("ats").offsets)
+            taken, low, high, size, earlier = [], [], [], [], []
+            for i in range(batch.num_rows):
+                found = steps_of[i].values
+                step, leads = np.asarray(found.field("step")), np.asarray(found.field("leads"))
+                order = np.argsort(step)
+                step, leads = step[order], leads[order]
+                apart = np.diff(step) != 1
+                ranges = []
+                for cuts, places, later in ((apart | (leads[1:] != leads[:-1]), slice(edges[i], edges[i] + 1), ~leads),
+                                            (apart, slice(edges[i] + 1, edges[i + 1]), np.ones(len(step), bool))):
+                    cut = np.flatnonzero(cuts)
+                    a, b = np.concatenate([[0], cut + 1]), np.append(cut, len(step) - 1)
+                    ranges.append((places, step[a], step[b], later[a]))
+                for places, a, b, later in ranges:
+                    at = np.arange(places.start, places.stop)
+                    taken.append(np.repeat(at, len(a)))
+                    low.append(np.tile(a, len(at))), high.append(np.tile(b, len(at)))
+                    size.append(np.full(len(at) * len(a), sizes[i])), earlier.append(np.tile(later, len(at)))
+            if not taken:
+                continue
+            taken, size = np.concatenate(taken), np.concatenate(size)
+            ids, ats = batch.column("ids").values.take(pa.array(taken)), np.asarray(batch.column("ats").values)[taken]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ids").flatten(), pa.array(low), pa.array(low + size), pa.array(size, pa.int32()), pa.array(earlier)],
+                [ids, pa.array(ats + np.concatenate(low)), pa.array(ats + np.concatenate(high) + size), pa.array(size, pa.int32()),
+                 pa.array(np.concatenate(earlier))],
                 names=["id", "low", "high", "size", "earlier"])
 
     return again.mapInArrow(run, f"id {again.schema['ids'].dataType.elementType.simpleString()}, low long, high long, size int, earlier boolean")
@@ -251,10 +317,11 @@ def _match_groups(contexts: DataFrame) -> DataFrame:
     """(id, low, high, size, earlier): repeated strings in contexts, whole groups of one length per chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
 
         def flush():
             length = held[0]["size"]
+            held.sort(key=lambda r: (r["id"]["own"] is not None, *r["id"].values(), r["at"]))
             found = match_contexts(held, length)
             return pa.RecordBatch.from_arrays(
                 [pa.array([held[f[0]]["id"] for f in found], kind), pa.array([held[f[0]]["at"] + f[1] for f in found], pa.int64()),
@@ -265,11 +332,11 @@ def _match_groups(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.column("id").type
             for row in batch.to_pylist():
-                if held and row["h"] != held[-1]["h"] and (size > CHUNK_BYTES or row["size"] != held[-1]["size"]):
+                if held and row["h"] != last and (size > CHUNK_BYTES or row["size"] != held[0]["size"]):
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row["context"])
+                size, last = size + len(row["context"]), row["h"]
         if held:
             yield flush()
 
@@ -295,10 +362,12 @@ def repeated_spans(documents: DataFrame, lengths: Sequence[tuple[int, int]] = ((
     contexts = materialize(_cut_contexts(reps, documents), "contexts")
     matched = _match_groups(contexts.where("context is not null"))
     windows = contexts.where("window is not null")
-    known = windows.groupBy("h", "window").agg(F.sum(F.size("ats")).alias("n"), F.min(F.struct("id", "at")).alias("f"))
+    known = windows.groupBy("h", "window").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("f"))
     known = materialize(known.where("n > 1").select("h", "window", "f"), "known")
     leads = F.struct("id", "at") == F.col("f")
-    again = _places(windows.join(known, ["h", "window"]).select("ids", "ats", "size", leads.alias("leads")))
+    # One row per run; it has no more windows than a text has bytes.
+    steps = windows.join(known, ["h", "window"]).groupBy("run").agg(F.collect_list(F.struct("step", leads.alias("leads"))).alias("steps"))
+    again = _places(contexts.where("ids is not null").select("run", "size", "ids", "ats").join(steps, "run").select("ids", "ats", "size", "steps"))
     several = classes.where("n > 1").select("h", "ctx", F.col("id").alias("first"), F.col("at").alias("first_at"))
     # Members of a class of several repeat as a whole; only the first has no earlier copy here.
     whole = members.join(several, ["h", "ctx"]).select(

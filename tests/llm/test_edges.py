@@ -196,3 +196,41 @@ def test_hot_groups_of_windows(spark, keep):
     found = suffix_dedup.remove_repeats(docs, length=48, keep=keep, max_classes=3).collect()
     assert Counter((r["doc_id"], r["n_removed"], brute.sha(bytes(r["kept"]))) for r in found) == Counter(
         (r[0], r[2], r[4]) for r in brute.op1(rows, 48, first=keep == "first"))
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_windows_come_back_as_ranges(spark, keep):
+    """Cut, doubled and nested quotes: right bytes, and a few ranges of a text instead of one row for each window."""
+    draw = random.Random(17)
+    fresh = lambda n: "".join(draw.choice("abcdefghij klmnop") for _ in range(n))
+    passage = fresh(150)
+    rows = [(i if i % 9 else None, fresh(40) + passage[draw.randrange(0, 30):draw.randrange(110, 151)] + fresh(40)) for i in range(50)]
+    rows += [(100 + i, fresh(9) + passage[:100] + fresh(30) + passage[20:] + fresh(20)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_dedup.remove_repeats(docs, length=48, keep=keep, max_classes=3).collect()
+    if keep == "none":
+        plain = brute.op1([(i, t) for i, (_, t) in enumerate(rows)], 48)
+    else:  # rows without an id go first, in the order of their digests
+        hashes = [r[0] for r in docs.sparkSession.createDataFrame([(t,) for _, t in rows], "text string").select(F.xxhash64("text")).collect()]
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashes[i]))
+        plain = brute.op1([(n, rows[i][1]) for n, i in enumerate(order)], 48, first=True)
+    assert Counter((r["n_removed"], brute.sha(bytes(r["kept"]))) for r in found) == Counter((r[2], r[4]) for r in plain)
+    key = F.struct(F.col("doc_id").alias("own"), F.xxhash64("text").alias("body_hash"))
+    spans = suffix_dedup.repeated_spans(docs.select(key.alias("id"), F.col("text").cast("binary").alias("body")), [(48, 19)], keep, 3)
+    assert spans.count() < 16 * len(rows)
+
+
+@pytest.mark.parametrize("length", [16, 48, 200, 400])
+def test_ranks_are_suffix_order(length):
+    draw = np.random.default_rng(length)
+    data = np.tile(draw.integers(0, 256, 700, dtype=np.uint8), 4)
+    data[draw.integers(0, len(data), 9)] = 0
+    starts = np.arange(len(data) - length + 1)
+    strings = [data[i:i + length].tobytes() for i in starts]
+    names = {s: i for i, s in enumerate(sorted(set(strings)))}
+    rank = suffix_dedup.capped_ranks(data, starts, length)
+    assert rank.tolist() == [names[s] for s in strings]
+    previous, following = suffix_dedup.neighbour_factors(rank, length)
+    first, last = {s: strings.index(s) for s in names}, {s: i for i, s in enumerate(strings)}
+    assert (previous > 0).tolist() == [first[s] < i for i, s in enumerate(strings)]
+    assert (following > 0).tolist() == [last[s] > i for i, s in enumerate(strings)]
